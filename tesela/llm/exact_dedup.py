@@ -23,6 +23,10 @@ from tesela.llm.common import materialize, remove, text_of, work_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: State stores are many and small next to RocksDB's preallocated files.
+PREALLOCATE = "spark.sql.streaming.stateStore.rocksdb.allowFAllocate"
+#: Digests of 32 bytes that are broadcast at most (about 20 MB); beyond it the join is by shuffle.
+BROADCAST_DIGESTS = 400_000
 #: Key-log bytes that one micro-batch takes; bounds its memory, not the number of rows.
 BYTES_PER_TRIGGER = 1 << 36
 
@@ -48,8 +52,9 @@ def run_state(spark: SparkSession, log_path: str, schema, state_path: str, out_p
     state_path keeps the RocksDB snapshots and the offsets: call again with a grown log to deduplicate only what
     is new against all that was seen.
     """
-    before = spark.conf.get(PROVIDER)
+    before = {name: spark.conf.get(name, None) for name in (PROVIDER, PREALLOCATE)}
     spark.conf.set(PROVIDER, ROCKSDB)
+    spark.conf.set(PREALLOCATE, "false")
     try:
         log = spark.readStream.schema(schema).option("maxBytesPerTrigger", BYTES_PER_TRIGGER).parquet(log_path)
         best = F.max(F.struct("doc_id", "row", "file"))
@@ -67,7 +72,8 @@ def run_state(spark: SparkSession, log_path: str, schema, state_path: str, out_p
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def latest_state(spark: SparkSession, out_path: str, schema) -> DataFrame:
@@ -109,23 +115,29 @@ def exact_dedup(
     remove(spark, state_path)
     if not verify:
         return out
-    mixed = _digests_with_mixed_bytes(docs, state, id_column, text_column, digest)
+    mixed = _digests_with_mixed_bytes(docs, state, text_column, digest)
+    mixed = materialize(mixed, work_path(spark, "dedup-mixed"))
     if mixed.isEmpty():
         return out
     return _split_collisions(docs, out, mixed, id_column, text_column, digest)
 
 
-def _digests_with_mixed_bytes(docs, state, id_column, text_column, digest) -> DataFrame:
-    """Hit digests under which some row's bytes differ from the retained row's."""
-    hits = state.where("group_size > 1").select("digest", "keep_id")
+def _digests_with_mixed_bytes(docs, state, text_column, digest) -> DataFrame:
+    """Hit digests whose rows don't all hold the same bytes.
+
+    The least and the greatest text of a digest are equal only if all are. Both are found before the shuffle, so a
+    large group of copies sends one row from each task. Rows without a hit are left out before the shuffle too,
+    as long as the hit digests are few enough to broadcast.
+    """
+    hits = state.where("group_size > 1").select("digest")
     text = text_of(text_column)
-    rows = docs.select(F.col(id_column).alias("doc_id"), text.alias("text"), digest(text).alias("digest"))
-    held = (
-        rows.join(hits, (rows.digest == hits.digest) & rows.doc_id.eqNullSafe(hits.keep_id))
-        .select(rows.digest, F.col("text").alias("held_text"))
-        .dropDuplicates(["digest"])
+    rows = docs.select(text.alias("text"), digest(text).alias("digest"))
+    if hits.count() <= BROADCAST_DIGESTS:
+        hits = F.broadcast(hits)
+    spread = rows.join(hits, "digest", "left_semi").groupBy("digest").agg(
+        F.min("text").alias("least"), F.max("text").alias("greatest")
     )
-    return rows.join(held, "digest").where("text != held_text").select("digest").distinct()
+    return spread.where("least != greatest").select("digest")
 
 
 def _split_collisions(docs, out, mixed, id_column, text_column, digest) -> DataFrame:
@@ -136,7 +148,7 @@ def _split_collisions(docs, out, mixed, id_column, text_column, digest) -> DataF
         text.alias("text"),
         digest(text).alias("digest"),
         F.monotonically_increasing_id().alias("row"),
-    ).join(F.broadcast(mixed) if mixed.count() < 10_000 else mixed, "digest", "left_semi")
+    ).join(F.broadcast(mixed) if mixed.count() <= BROADCAST_DIGESTS else mixed, "digest", "left_semi")
     rows = materialize(rows, work_path(docs.sparkSession, "dedup-collided"))
     groups = rows.groupBy("digest", "text").agg(
         F.max(F.struct("doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("group_size")

@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesela.llm.common import text_of, text_slices, utf8
+from tesela.llm.common import map_arrow, text_of, text_slices, utf8
 
 #: Bytes of the longest word that the rank matrix takes.
 SHORT = 48
@@ -261,4 +261,4 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: s
                     names=["doc_id", "n_tokens", "ids", "decoded"],
                 )
 
-    return source.mapInArrow(run, f"doc_id {id_type}, n_tokens bigint, ids binary, decoded string")
+    return map_arrow(source, run, f"doc_id {id_type}, n_tokens bigint, ids binary, decoded string")

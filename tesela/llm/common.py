@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -92,3 +95,26 @@ def with_columns(batch: pa.RecordBatch, names: list[str], **columns: pa.Array) -
     """The named columns of batch, then the given ones."""
     arrays = [batch.column(batch.schema.get_field_index(n)) for n in names] + list(columns.values())
     return pa.RecordBatch.from_arrays(arrays, names=[*names, *columns])
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) with this package on the executors' path."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once a context, unless PYTHONPATH already leads there."""
+    root = Path(__file__).resolve().parents[2]
+    context = spark.sparkContext
+    if context.applicationId in _shipped or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    _shipped.add(context.applicationId)
+    target = Path(tempfile.mkdtemp(prefix="tesela-code-")) / "tesela.zip"
+    with zipfile.ZipFile(target, "w") as bundle:
+        for file in sorted((root / "tesela").rglob("*.py")):
+            bundle.write(file, file.relative_to(root))
+    context.addPyFile(str(target))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesela.llm.common import text_of, text_slices, utf8
+from tesela.llm.common import map_arrow, text_of, text_slices, utf8
 from tesela.llm.wordhash import LOWER, NOT_ALNUM, kinds_of, mix, words
 
 WINDOW = 13
@@ -182,7 +182,7 @@ def find_occurrences(
     )
     for block in _item_blocks(benchmark, item_column, benchmark_text, block_bytes):
         tables = spark.sparkContext.broadcast(build(block, window))
-        rows = rows.mapInArrow(_search_with(tables), rows.schema)
+        rows = map_arrow(rows, _search_with(tables), rows.schema)
     return rows.drop("text")
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesela.llm.common import text_of, text_slices, utf8
+from tesela.llm.common import map_arrow, text_of, text_slices, utf8
 from tesela.llm.wordhash import LOWER, SPACE, byte_class, mix, segments, words
 
 BITS = 20
@@ -127,7 +127,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_column: str = "doc_id", text_
                 [batch.column(0), pa.array(score_texts(texts, model.value))], names=["doc_id", "score"]
             )
 
-    return source.mapInArrow(run, f"doc_id {id_type}, score double")
+    return map_arrow(source, run, f"doc_id {id_type}, score double")
 
 
 def score_texts(texts: pa.Array, weights: np.ndarray) -> np.ndarray:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tesela.llm.bpe import _CUT, _EDGE
-from tesela.llm.common import text_of, text_slices, utf8
+from tesela.llm.common import map_arrow, text_of, text_slices, utf8
 
 #: Characters of a chunk; longer texts are chunked.
 CHUNK = 16_384
@@ -149,4 +149,4 @@ def token_counts(docs: DataFrame, path: str, id_column: str = "doc_id", text_col
                     [ids.slice(a, b - a), sizes, pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"]
                 )
 
-    return source.mapInArrow(run, f"doc_id {id_type}, n_bytes bigint, n_tokens bigint")
+    return map_arrow(source, run, f"doc_id {id_type}, n_bytes bigint, n_tokens bigint")

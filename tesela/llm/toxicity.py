@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesela.llm.common import text_of, text_slices, utf8
+from tesela.llm.common import map_arrow, text_of, text_slices, utf8
 from tesela.llm.quality import _logistic, sample_labelled
 from tesela.llm.wordhash import LOWER, NOT_ALNUM, kinds_of, mix, segments, words
 
@@ -150,4 +150,4 @@ def score(docs: DataFrame, model: Machine, id_column: str = "doc_id", text_colum
             scores = pa.array(score_texts(utf8(batch.column(1)), shared.value))
             yield pa.RecordBatch.from_arrays([batch.column(0), scores], names=["doc_id", "score"])
 
-    return source.mapInArrow(run, f"doc_id {id_type}, score double")
+    return map_arrow(source, run, f"doc_id {id_type}, score double")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesela.llm import bpe, decontamination, quality, toxicity
+from tesela.llm import bpe, decontamination, lm, quality, toxicity
 from tesela.llm.common import crc_mod, table
 from tesela.llm.exact_dedup import exact_dedup
 from tesela.llm.token_counts import token_counts
@@ -31,6 +31,19 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _marked(quality.score(docs, weights), 0.7)
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.lm_scores(table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) != 2)
+    return scored.select(
+        "doc_id",
+        (~F.col("learn")).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     machine = toxicity.fit(docs, labels, "toxic", crc_mod("doc_id", 4) != 2)
@@ -76,6 +89,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_quality": op3_quality,
+    "op4_lm": op4_lm,
     "op5_toxicity": op5_toxicity,
     "op6_decontamination": op6_decontamination,
     "op7_token_counts": op7_token_counts,

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesela.llm import bpe, decontamination, lm, quality, toxicity
+from tesela.llm import bpe, decontamination, lm, quality, toxicity, warc
 from tesela.llm.common import crc_mod, table
 from tesela.llm.exact_dedup import exact_dedup
+from tesela.llm.line_dedup import line_dedup
 from tesela.llm.token_counts import token_counts
 
 
@@ -76,6 +77,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path())
     return coded.select(
@@ -86,6 +92,49 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Crawl that op10 reads pages as: page k is fetched in full at second 2k and asked for again REFETCH seconds later.
+REFETCH = 100_001
+
+
+def page_crawl(pages: DataFrame) -> DataFrame:
+    """WARC records of a crawl of the pages: a response for each, and a not-modified revisit with the same ETag."""
+    etag = F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit("")).cast("binary")), F.lit('"'))
+
+    def capture(kind: str, second, status: int, headers: dict) -> DataFrame:
+        fields = [x for k, v in headers.items() for x in (F.lit(k), v)]
+        return pages.select(
+            F.concat(F.lit(f"{kind}:"), F.col("page_id").cast("string")).alias("record_id"),
+            F.lit(kind).alias("type"),
+            "url",
+            F.timestamp_seconds(second).alias("ts"),
+            F.lit(status).alias("status"),
+            F.create_map(*fields).alias("headers"),
+            (F.col("html") if kind == "response" else F.lit(None).cast("string")).alias("body"),
+        )
+
+    first, again = 2 * F.col("page_id"), 2 * F.col("page_id") + REFETCH
+    size = F.octet_length(F.coalesce("html", F.lit(""))).cast("string")
+    date = lambda second: second.cast("string")
+    full = {"ETag": etag, "Date": date(first), "Content-Type": F.lit("text/html"), "Content-Length": size}
+    same = {"etag": etag, "date": date(again), "Content-Length": F.lit("0"), "X-Cache": F.lit("hit")}
+    return capture("response", first, 200, full).unionByName(capture("revisit", again, 304, same))
+
+
+def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crawl = page_crawl(table(spark, sf_dir, "pages"))
+    resolved = warc.with_bodies(warc.resolve_revisits(crawl), crawl)
+    listed = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
+    number = lambda c: F.substring_index(c, ":", -1).cast("bigint")
+    return resolved.select(
+        number("record_id").alias("page_id"),
+        "canonical_url",
+        "outcome",
+        number("refers_to").alias("refers_to"),
+        F.sha2(listed.cast("binary"), 256).alias("headers_sha256"),
+        F.when(F.col("outcome") == "resolved", F.sha2(F.coalesce("body", F.lit("")).cast("binary"), 256)).alias("body_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_quality": op3_quality,
@@ -93,7 +142,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_decontamination": op6_decontamination,
     "op7_token_counts": op7_token_counts,
+    "op8_line_dedup": op8_line_dedup,
     "op9_bpe": op9_bpe,
+    "op10_warc_revisits": op10_warc_revisits,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -105,4 +156,41 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents
     """,
+    "op10_warc_revisits": r"""
+        WITH plain AS (
+            SELECT page_id, coalesce(html, '') AS html,
+                   regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS p
+            FROM pages
+        ), parted AS (
+            SELECT page_id, html,
+                   regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(p, '^([^/?]*)', 1)),
+                       '^[^@]*@', ''), ':(80|443)$', ''), '^www[.]', '') AS host,
+                   regexp_replace(regexp_extract(p, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+                   array_to_string(list_sort(list_filter(string_split(regexp_extract(p, '[?](.*)$', 1), '&'),
+                       lambda q: q <> '' AND NOT starts_with(q, 'utm_'))), '&') AS query
+            FROM plain
+        ), pages_in_form AS (
+            SELECT page_id, html, host || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS canonical_url,
+                   '"' || md5(html) || '"' AS etag
+            FROM parted
+        ), hits AS (
+            SELECT a.page_id, a.canonical_url, a.etag, max(b.page_id) AS refers_to
+            FROM pages_in_form a
+            LEFT JOIN pages_in_form b ON a.canonical_url = b.canonical_url AND 2 * b.page_id < 2 * a.page_id + 100001
+            GROUP BY a.page_id, a.canonical_url, a.etag
+        ), told AS (
+            SELECT h.*, b.html AS body, b.etag AS held,
+                   CASE WHEN h.refers_to IS NULL THEN 'no-response'
+                        WHEN h.etag <> b.etag THEN 'etag-mismatch' ELSE 'resolved' END AS outcome
+            FROM hits h LEFT JOIN pages_in_form b ON h.refers_to = b.page_id
+        )
+        SELECT page_id, canonical_url, outcome, refers_to,
+               sha256(CASE WHEN outcome = 'resolved'
+                   THEN 'content-length=' || CAST(octet_length(encode(body)) AS VARCHAR) || ';content-type=text/html'
+                   ELSE 'content-length=0' END
+                   || ';date=' || CAST(2 * page_id + 100001 AS VARCHAR) || ';etag=' || etag || ';x-cache=hit')
+                   AS headers_sha256,
+               CASE WHEN outcome = 'resolved' THEN sha256(body) END AS body_sha256
+        FROM told
+    """,
 }

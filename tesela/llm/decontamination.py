@@ -211,3 +211,10 @@ def is_contaminated():
     """At least a twentieth of the words hit, and one at least."""
     hit = F.size("hit_words").cast("bigint")
     return (hit > 0) & (20 * hit >= F.col("n_words"))
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of docs that aren't contaminated, with all their columns."""
+    found = find_occurrences(docs, benchmark, id_column, text_column, keep=tuple(docs.columns))
+    clean = found.where(~is_contaminated())
+    return clean.select(*(F.col(f"keep_{k}").alias(c) for k, c in enumerate(docs.columns)))

@@ -314,20 +314,18 @@ def lm_scores(docs: DataFrame, learn: Column, id_column: str = "doc_id", text_co
         F.col(id_column).alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), text_of(text_column).alias("text")
     )
     id_type = source.schema["doc_id"].dataType.simpleString()
-    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0]
+    if size is None:
+        new = {"n_tokens": "bigint", "n_known": "bigint", "base_score": "double", "score": "double"}
+        empty = source.select("doc_id", "learn", *(F.lit(None).cast(t).alias(n) for n, t in new.items()))
+        return empty.withColumn("train_tokens", F.lit(0).cast("bigint"))
     n_parts = max(8, -(-size // PART_BYTES))
     path, sums_path, counts_path = (work_path(spark, f"lm-{n}") for n in ("blocks", "sums", "counts"))
     blocks = "block string, part int, a binary, b binary, c binary, d binary"
     map_arrow(source, _write_blocks(n_parts), blocks).withColumn("packed", F.col("part") < 0).write.partitionBy(
         "packed"
     ).option("compression", "uncompressed").parquet(path)
-    packs = spark.read.schema(blocks).parquet(f"{path}/packed=true") if size else None
-    if packs is None:
-        none = source.select("doc_id", "learn", F.lit(1).cast("bigint").alias("n_tokens"))
-        if none.isEmpty():
-            empty = {"n_known": "bigint", "base_score": "double", "score": "double", "train_tokens": "bigint"}
-            return none.withColumns({k: F.lit(None).cast(t) for k, t in empty.items()})
-        packs = spark.read.schema(blocks).parquet(f"{path}/packed=true")
+    packs = spark.read.schema(blocks).parquet(f"{path}/packed=true")
     keys = spark.read.schema(blocks).parquet(f"{path}/packed=false")
     sums = keys.repartition(n_parts, "part").groupBy("part").applyInArrow(
         _sum_part, "block string, part int, words binary, pairs binary, n bigint, v bigint"

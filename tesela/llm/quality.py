@@ -130,6 +130,18 @@ def score(docs: DataFrame, weights: np.ndarray, id_column: str = "doc_id", text_
     return map_arrow(source, run, f"doc_id {id_type}, score double")
 
 
+def keep_good(docs: DataFrame, weights: np.ndarray, threshold: float, text_column: str = "text") -> DataFrame:
+    """The rows of docs whose score is threshold or more, with all their columns."""
+    model = docs.sparkSession.sparkContext.broadcast(weights)
+    at = docs.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(score_texts(utf8(batch.column(at)), model.value) >= threshold))
+
+    return map_arrow(docs, run, docs.schema)
+
+
 def score_texts(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
     out = np.empty(len(texts))
     for a, b, data, offsets in text_slices(texts):

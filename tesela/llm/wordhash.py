@@ -48,7 +48,7 @@ LOWER[0x41:0x5B] += 32
 SAME = np.arange(256, dtype=np.uint8)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
+def mix(x: np.ndarray) -> np.ndarray:  # of arrays: scalars would warn of overflow
     """A bijective mixer of 64-bit values (the finaliser of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)

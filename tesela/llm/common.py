@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -118,3 +119,9 @@ def ship_package(spark: SparkSession) -> None:
         for file in sorted((root / "tesela").rglob("*.py")):
             bundle.write(file, file.relative_to(root))
     context.addPyFile(str(target))
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished plans, which it does when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

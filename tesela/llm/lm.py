@@ -37,10 +37,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesela.llm.common import map_arrow, materialize, remove, ship_package, text_of, text_slices, utf8, work_path
+from tesela.llm.common import map_arrow, materialize, release_shuffles, remove, ship_package, text_of, text_slices, utf8, work_path
 from tesela.llm.wordhash import LOWER, SPACE, kinds_of, mix, segments, words
 
-BLOCK_TOKENS = 1 << 21
+BLOCK_TOKENS = 1 << 20
 #: Text bytes for each part.
 PART_BYTES = 24 << 20
 BUCKETS = 24
@@ -89,11 +89,11 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pairs(t: np.ndarray) -> np.ndarray:
-    """Hashes of (context, token); what stands before a text is an end token."""
+    """Hashes of (context, token), of 56 bits; what stands before a text is an end token."""
     before = np.empty_like(t)
     before[:1] = END
     before[1:] = t[:-1]
-    return mix(before * np.uint64(0x9E3779B97F4A7C15) + t)
+    return mix(before * np.uint64(0x9E3779B97F4A7C15) + t) & ~np.uint64(0xFF)
 
 
 def part_bounds(keys: np.ndarray, n_parts: int) -> np.ndarray:
@@ -332,6 +332,7 @@ def lm_scores(docs: DataFrame, learn: Column, id_column: str = "doc_id", text_co
     )
     sums = materialize(sums, sums_path)
     remove(spark, f"{path}/packed=false")
+    release_shuffles(spark)
     n_train, v_train = sums.agg(F.sum("n"), F.sum("v")).first()
     counts = packs.select("block", "a").groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(
         _count_tokens(n_train, v_train),

@@ -9,8 +9,11 @@ from tesela.functions.vocab import RAW_NULLS, TRIMMED_NULLS
 
 BOM = "﻿"
 #: Decimal numbers and infinities as both Spark and SQL engines read them; try_cast alone takes more.
-NUMBER = r"^([+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[+-]?([iI][nN][fF]([iI][nN][iI][tT][yY])?))$"
-GROUPED = r"^[+-]?\d{1,3}(\.\d{3})+$"
+NUMBER = r"(?:[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|[+-]?[iI][nN][fF](?:[iI][nN][iI][tT][yY])?)"
+NOT_NUMBER = rf"(?s)^(?!{NUMBER}$).*$"
+#: A point between groups of thousands, in a text that is made of such groups; of at most 12.
+THOUSANDS_POINT = r"(?<=^[+-]?\d{1,3}(?:\.\d{3}){0,12})\.(?=\d{3}(?:\.\d{3}){0,12}$)"
+NEVER = "(?!)"
 GROUPED_TWICE = r"^[+-]?\d{1,3}(\.\d{3}){2,}$"
 
 
@@ -31,15 +34,21 @@ def trim_all(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANKS))
 
 
+# Filters are pushed below projections, which puts a column's whole expression in place of each of its mentions. So
+# the expressions here mention their argument once; the one-element array stands for a local variable.
+def only_if(c: Column, keep) -> Column:
+    """c where keep(c), else null."""
+    return F.get(F.filter(F.array(c), keep), F.lit(0))
+
+
 def raw_null(c: Column) -> Column:
     """Null where the whole raw field is a token for no value; padded tokens stay text."""
-    return F.when(~c.isin(*RAW_NULLS), c)
+    return only_if(c, lambda v: ~v.isin(*RAW_NULLS))
 
 
 def clean(c: Column) -> Column:
     """Trimmed text, null for tokens of no value."""
-    text = trim_all(c.cast("string"))
-    return F.when(~text.isin(*TRIMMED_NULLS), text)
+    return only_if(trim_all(c.cast("string")), lambda v: ~v.isin(*TRIMMED_NULLS))
 
 
 def without_zeros(c: Column) -> Column:
@@ -77,10 +86,8 @@ def has_thousands(c: Column) -> Column:
 
 def number_text(text: Column, grouped: Column | None = None) -> Column:
     if grouped is not None:
-        text = F.when(grouped & text.rlike(GROUPED), F.translate(text, ".", "")).otherwise(text)
-    value = F.when(text.rlike(NUMBER), text.try_cast("double"))
-    # Infinity is a value where it is spelled out, and an overflow elsewhere.
-    return F.when((F.abs(value) != float("inf")) | F.lower(text).contains("inf"), value)
+        text = F.regexp_replace(text, F.when(grouped, THOUSANDS_POINT).otherwise(NEVER), F.lit(""))
+    return F.regexp_replace(text, NOT_NUMBER, "x").try_cast("double")
 
 
 def number(c: Column, grouped: Column | None = None) -> Column:
@@ -92,7 +99,7 @@ def grouped_integer(c: Column) -> Column:
     """An integer whose points part thousands, unless all that follows the point is zeros."""
     text = point_decimal(c)
     plain = F.when(text.rlike(r"^[+-]?\d+(\.0+)?$"), text).otherwise(F.translate(text, ".", ""))
-    return F.when(plain.rlike(NUMBER), plain.try_cast("double")).try_cast("bigint")
+    return number_text(plain).try_cast("bigint")
 
 
 def trip_label(c: Column) -> Column:

@@ -67,6 +67,20 @@ def with_file_facts(df: DataFrame, facts: dict[str, Column]) -> DataFrame:
     return df.join(F.broadcast(per_file), FILE)
 
 
+def evaluated_once(df: DataFrame, keep: tuple[str, ...], make) -> DataFrame:
+    """The columns in keep, and those that make(row) gives by name, each computed once a row.
+
+    Filters that follow would otherwise be pushed below and repeat the text expressions, in methods that grow too
+    large for the JVM's compiler; nothing is pushed through a generator.
+    """
+    row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)))
+    at = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    one = F.transform(
+        F.array(row), lambda r: F.struct(*(x.alias(n) for n, x in make(lambda c: r[at[c]]).items()))
+    )
+    return df.select(*keep, F.inline(one))
+
+
 def od(
     raw: DataFrame,
     keep_activity: bool = False,
@@ -90,19 +104,21 @@ def od(
         df = with_file_facts(df, {f"__grouped_{m}": F.bool_or(N.has_thousands(F.col(m))) for m in measures})
     if hour_mode == "auto":
         hour_mode = "int" if df.agg(F.bool_and(N.number(F.col("hour")).isNotNull())).first()[0] in (True, None) else "text"
-    hour = N.number(F.col("hour")).try_cast("int") if hour_mode == "int" else N.trim_all(F.col("hour"))
-    df = df.withColumns({m: N.point_decimal(F.col(m)) for m in measures} | {"hour": hour})
-    df = df.select(
-        FILE,
-        N.iso_date(F.col("date")).alias("date"),
-        "hour",
-        N.zone_id(F.col("id_origin")).alias("id_origin"),
-        N.zone_id(F.col("id_destination")).alias("id_destination"),
-        *(N.relabel(F.col(c), ACTIVITIES).alias(c) for c in ACTIVITY_KEYS),
-        *(F.col(c) for c in ("income", "age")),
-        N.relabel(F.col("gender"), GENDERS).alias("gender"),
-        *(N.number_text(F.col(m), F.col(f"__grouped_{m}") if thousands else None).alias(m) for m in measures),
-    )
+
+    def normal(of):
+        text_hour = of("hour")
+        return {
+            "date": N.iso_date(of("date")),
+            "hour": N.number(text_hour).try_cast("int") if hour_mode == "int" else N.trim_all(text_hour),
+            "id_origin": N.zone_id(of("id_origin")),
+            "id_destination": N.zone_id(of("id_destination")),
+            **{c: N.relabel(of(c), ACTIVITIES) for c in ACTIVITY_KEYS if keep_activity},
+            **{c: of(c) for c in ("income", "age") if social_agg},
+            **({"gender": N.relabel(of("gender"), GENDERS)} if social_agg else {}),
+            **{m: N.number(of(m), of(f"__grouped_{m}") if thousands else None) for m in measures},
+        }
+
+    df = evaluated_once(df, (FILE,), normal)
     df = df.dropna(subset=["date", "id_origin", "id_destination", *measures])
     keys = [*OD_KEYS, *(ACTIVITY_KEYS if keep_activity else ()), *(SOCIAL_KEYS if social_agg else ())]
     if not keep_null_groups:
@@ -127,17 +143,18 @@ def _rows(raw, names, optional, zones, thousands, required) -> DataFrame:
     columns = [c for c in df.columns if c != FILE]
     if thousands:
         df = with_file_facts(df, {"__grouped": F.bool_or(N.has_thousands(F.col("people")))})
-    df = df.withColumn("people", N.point_decimal(F.col("people")))
-    normal = {
-        "date": N.iso_date(F.col("date")),
-        "people": N.number_text(F.col("people"), F.col("__grouped") if thousands else None),
-    }
-    normal |= {z: N.zone_id(F.col(z)) for z in zones}
-    if "number_of_trips" in columns:
-        normal["number_of_trips"] = N.trip_label(F.col("number_of_trips"))
-        normal["gender"] = N.relabel(F.col("gender"), GENDERS)
-    out = df.select(*(normal.get(c, F.col(f"`{c}`")).alias(c) for c in columns))
-    return out.dropna(subset=list(required))
+
+    def normal(of):
+        changed = {
+            "date": N.iso_date(of("date")),
+            "people": N.number(of("people"), of("__grouped") if thousands else None),
+            **{z: N.zone_id(of(z)) for z in zones},
+        }
+        if "number_of_trips" in columns:
+            changed |= {"number_of_trips": N.trip_label(of("number_of_trips")), "gender": N.relabel(of("gender"), GENDERS)}
+        return {c: changed[c] if c in changed else of(c) for c in columns}
+
+    return evaluated_once(df, (), normal).dropna(subset=list(required))
 
 
 def union_files(frames: list[DataFrame]) -> DataFrame | None:

@@ -32,6 +32,8 @@ from tesela.llm.common import map_arrow, text_of, text_slices, utf8
 SHORT = 48
 #: Units that a worker remembers at most; beyond it, it starts anew.
 REMEMBERED = 400_000
+#: Marks a unit at the beginning of a text; no UTF-8 text holds a lone surrogate.
+FIRST = "\ud800"
 #: Rows of a rank matrix.
 ROWS = 1 << 14
 NONE = np.iinfo(np.int32).max
@@ -190,11 +192,11 @@ class Encoder:
         return _CUT.split(text) if _EDGE.search(text) else text.split(" ")
 
     def _learn(self, units: Iterable[str]) -> None:
-        """Unit keys: the unit without its leading space; those that have none are marked by a NUL and a space."""
+        """Unit keys: the unit without its leading space; those that have none begin with FIRST."""
         pretokens: dict[str, int] = {}
         cut = []
         for unit in units:
-            found = _PRETOKEN.findall(unit[2:] if unit.startswith("\0 ") else " " + unit)
+            found = _PRETOKEN.findall(unit[1:] if unit.startswith(FIRST) else " " + unit)
             cut.append((unit, [pretokens.setdefault(p, len(pretokens)) for p in found]))
         packed = self.vocab.encode_words([p.encode() for p in pretokens])
         for unit, parts in cut:
@@ -212,7 +214,7 @@ class Encoder:
                     jobs.append(self.vocab.special[piece].to_bytes(4, "little"))
                 elif piece:
                     units = self.units(piece)
-                    units[0] = "\0 " + units[0]
+                    units[0] = FIRST + units[0]
                     jobs.append(units)
             spans.append((begin, len(jobs)))
         new = set().union(*(j for j in jobs if isinstance(j, list))).difference(self.known)

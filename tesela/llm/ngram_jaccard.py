@@ -224,7 +224,7 @@ def _candidate_edges(table: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordB
 
 
 def common_members(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections of the sets, as a matrix."""
+    """Sizes of the intersections of any two of the sets, as a matrix; its diagonal has no meaning."""
     n = len(sets)
     member = np.repeat(np.arange(n), [len(s) for s in sets])
     _, where, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)

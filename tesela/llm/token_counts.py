@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tesela.llm.bpe import _CUT, _EDGE
+from tesela.llm.bpe import _CUT, _EDGE, FIRST
 from tesela.llm.common import map_arrow, text_of, text_slices, utf8
 
 #: Characters of a chunk; longer texts are chunked.
@@ -107,7 +107,7 @@ class Counter:
                 out[i] = len(self._encode(text))
             elif text:
                 units = _CUT.split(text) if _EDGE.search(text) else text.split(" ")
-                units[0] = "\0 " + units[0]
+                units[0] = FIRST + units[0]
                 jobs.append((i, units))
         new = set().union(*(u for _, u in jobs)).difference(self.known)
         if len(self.known) + len(new) > self.remembered and self.known:
@@ -116,7 +116,7 @@ class Counter:
         if new:
             order = list(new)
             found = self.tokenizer.encode_batch_fast(
-                [u[2:] if u.startswith("\0 ") else " " + u for u in order], add_special_tokens=False
+                [u[1:] if u.startswith(FIRST) else " " + u for u in order], add_special_tokens=False
             )
             self.known.update(zip(order, map(len, found)))
         find = self.known.__getitem__

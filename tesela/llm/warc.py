@@ -21,6 +21,7 @@ from __future__ import annotations
 import gzip
 import io
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -200,40 +201,50 @@ def _fields(stream: io.BufferedIOBase) -> dict[str, str]:
     return found
 
 
+def _unzipped(data: bytes) -> bytes:
+    """The gzip members of data; of one that is cut off, what can be read."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(data))
+        except zlib.error:
+            break
+        data = member.unused_data
+    return b"".join(out)
+
+
 def parse_warc(data: bytes) -> Iterator[dict]:
-    """Records of a WARC file, plain or of gzip members. Records cut off at the end of the file are left out."""
-    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data))) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+    """Records of a WARC file, plain or of gzip members. A record cut off at the end of the file is left out."""
+    stream = io.BytesIO(_unzipped(data) if data[:2] == b"\x1f\x8b" else data)
     number = -1
-    try:
-        while line := stream.readline():
-            if not line.startswith(b"WARC/"):
-                continue
-            number += 1
-            head = _fields(stream)
-            size = int(head.get("content-length", "0"))
-            block = stream.read(size)
-            if len(block) < size:
-                return
-            record = {
-                "record_id": head.get("warc-record-id", "").strip("<>"),
-                "type": head.get("warc-type"),
-                "url": (head.get("warc-target-uri") or "").strip("<>") or None,
-                "ts": head.get("warc-date"),
-                "profile": head.get("warc-profile"),
-                "status": None,
-                "headers": None,
-                "body": block,
-                "offset": number,
-            }
-            if head.get("content-type", "").startswith("application/http") and block.startswith(b"HTTP/"):
-                inner = io.BytesIO(block)
-                status = inner.readline().split(b" ", 2)
-                record["status"] = int(status[1]) if len(status) > 1 and status[1].isdigit() else None
-                record["headers"] = _fields(inner)
-                record["body"] = inner.read()
-            yield record
-    except (EOFError, gzip.BadGzipFile):
-        return
+    while line := stream.readline():
+        if not line.startswith(b"WARC/"):
+            continue
+        number += 1
+        head = _fields(stream)
+        size = int(head.get("content-length", "0"))
+        block = stream.read(size)
+        if len(block) < size:
+            return
+        record = {
+            "record_id": head.get("warc-record-id", "").strip("<>"),
+            "type": head.get("warc-type"),
+            "url": (head.get("warc-target-uri") or "").strip("<>") or None,
+            "ts": head.get("warc-date"),
+            "profile": head.get("warc-profile"),
+            "status": None,
+            "headers": None,
+            "body": block,
+            "offset": number,
+        }
+        if head.get("content-type", "").startswith("application/http") and block.startswith(b"HTTP/"):
+            inner = io.BytesIO(block)
+            status = inner.readline().split(b" ", 2)
+            record["status"] = int(status[1]) if len(status) > 1 and status[1].isdigit() else None
+            record["headers"] = _fields(inner)
+            record["body"] = inner.read()
+        yield record
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:

@@ -136,7 +136,7 @@ def _write_blocks(n_parts: int):
         for table in _blocks(batches):
             block = uuid.uuid4().hex
             sink = io.BytesIO()
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
                 out.write_table(table.combine_chunks())
             rows = [(-1, [sink.getvalue(), None, None, None])]
             _, found = _counted(table)

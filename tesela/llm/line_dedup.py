@@ -133,11 +133,12 @@ def repeated_runs(lines: DataFrame) -> DataFrame:
             F.get("numbers", r["begin"]).alias("first"), F.get("numbers", r["begin"] + r["size"] - 1).alias("last")
         ),
     )
+    # A generator and no filter: a filter on the ranges would be pushed below the projections, and there work out
+    # the breaks anew for every run.
     return (
-        aligned.select("key", gone.alias("gone"))
-        .where(F.size("gone") > 0)
+        aligned.select("key", F.explode(gone).alias("gone"))
         .groupBy("key")
-        .agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("removed"))
+        .agg(F.collect_set("gone").alias("removed"))
     )
 
 

@@ -154,7 +154,8 @@ def line_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     text = text_of(text_column)
     rows = docs.select(F.col(id_column).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
     same = rows["doc_id"].eqNullSafe(removed["id"]) & (rows["text_hash"] == removed["text_hash"])
-    rows = rows.join(removed, same, "left").select("doc_id", "text", "removed")
+    # The documents with runs grow with the corpus, so they are never broadcast, however few a small corpus has.
+    rows = rows.join(removed.hint("merge"), same, "left").select("doc_id", "text", "removed")
     all_lines = F.split("text", "\n", -1)
 
     def stays(line, number):

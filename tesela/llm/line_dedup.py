@@ -148,7 +148,7 @@ def line_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     # One row a document, by key: equal rows would meet each other on every alignment.
     lines = line_table(docs, id_column, text_column).dropDuplicates(["key"])
     lines = materialize(lines, work_path(spark, "lines"))
-    removed = materialize(repeated_runs(lines), work_path(spark, "line-runs")).select(
+    removed = repeated_runs(lines).select(
         F.col("key.id").alias("id"), F.col("key.text_hash").alias("text_hash"), "removed"
     )
     text = text_of(text_column)

@@ -6,7 +6,7 @@ Here the arrays of many short words form the rows of a matrix, so that one scan
 (over SHORT bytes) keep their pairs in a heap instead, so a word of a million bytes costs n log n.
 
 Texts are cut into units at spaces between two other characters; no pretoken spans such a cut, so a unit's ids
-don't depend on its neighbours and are remembered (a bounded memory of each worker).
+don't depend on its neighbours and are remembered (a bounded memory of each task).
 
 Defined results: null and empty texts have no ids and decode to the empty text. The special strings of the
 vocabulary become their ids. Rows are independent; repeated rows give repeated results.
@@ -30,7 +30,7 @@ from tesela.llm.common import map_arrow, text_of, text_slices, utf8
 
 #: Bytes of the longest word that the rank matrix takes.
 SHORT = 48
-#: Units that a worker remembers at most; beyond it, it starts anew.
+#: Units that a task remembers at most; beyond it, it starts anew.
 REMEMBERED = 400_000
 #: Marks a unit at the beginning of a text; no UTF-8 text holds a lone surrogate.
 FIRST = "\ud800"
@@ -232,7 +232,7 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """This worker's encoder for the file, with what it remembers."""
+    """This worker's encoder for the file."""
     if path not in _encoders:
         _encoders[path] = Encoder(vocabulary(path))
     return _encoders[path]
@@ -262,5 +262,6 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: s
                     ],
                     names=["doc_id", "n_tokens", "ids", "decoded"],
                 )
+        worker.known.clear()  # what is remembered doesn't outlive a task, since idle workers stay
 
     return map_arrow(source, run, f"doc_id {id_type}, n_tokens bigint, ids binary, decoded string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -99,9 +100,22 @@ def with_columns(batch: pa.RecordBatch, names: list[str], **columns: pa.Array) -
 
 
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow(run, schema) with this package on the executors' path."""
+    """df.mapInArrow(run, schema) with this package on the executors' path; a worker is trimmed after each task."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim_worker()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def trim_worker() -> None:
+    """Give freed memory back to the system: Spark keeps idle workers, and the next stage's memory comes on top."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):  # glibc has it
+        libc.malloc_trim(0)
 
 
 _shipped: set[str] = set()

@@ -1,15 +1,19 @@
-"""Removal of repeated runs of lines by winnowing over line hashes, in DataFrame operations only.
+"""Removal of repeated runs of lines by fingerprints of lines, in DataFrame operations only.
 
 Lines are what newlines part, with white space at both ends left out of the comparison; blank lines are never
-compared or removed. Each document becomes an array of 64-bit line hashes. Fingerprints are the hashes of GRAM
-neighbouring lines that are least in some window of WINDOW of them (the rightmost of equals), so a shared run of
-GRAM + WINDOW - 1 lines always shares one; a line of MIN_WORDS words or more is a fingerprint of its own.
+compared or removed. Each document becomes an array of 64-bit line hashes. Runs of MIN_LINES lines or of MIN_WORDS
+words that occur at an earlier place (by the document's id, then its text's hash, then the line) are removed from the
+later place. A document can repeat itself too.
 
-Each fingerprint's first place in the corpus (by doc_id, then the text's hash, then the position) is found with a
-partial aggregate, and every later place is joined to that one place; so a fingerprint that a third of all documents
-hold makes one row for each of its places, never a row for a pair of them. A later place gives an alignment of its
-document with the first one. Along an alignment, matches extend both ways to whole runs; runs of MIN_LINES lines or of
-MIN_WORDS words are removed from the later document. A document can repeat itself too.
+Fingerprints are those of winnowing with a window of one: every unit of neighbouring lines that is a run to remove by
+itself, which is MIN_LINES lines, or fewer that have MIN_WORDS words together. A line lies in a repeated run exactly
+if it lies in a unit that occurred earlier, so runs need no partner and no alignment. A unit is left out where smaller
+units inside it cover all its lines. A wider window would choose among the units, and lose those repeats whose units
+lead to places that share less.
+
+Each unit's first place in the corpus is found with a partial aggregate, and every later place is joined to that; so a
+unit that a third of all documents hold makes one row for each of its places, never a row for a pair of them. Units
+are compared by the hashes of all their lines.
 
 Defined results: null and empty texts have no lines to compare. Rows with the same id and the same text are one
 document and get the same result; a null id comes first. What an earlier document keeps is never removed from all
@@ -23,9 +27,7 @@ from pyspark.sql import functions as F
 
 from tesela.llm.common import materialize, text_of, work_path
 
-GRAM = 2
-WINDOW = 2
-MIN_LINES = GRAM + WINDOW - 1
+MIN_LINES = 3
 MIN_WORDS = 50
 
 
@@ -44,102 +46,43 @@ def line_table(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 
 def fingerprints(lines: DataFrame) -> DataFrame:
-    """(print, key, at): window minima of the hashes of GRAM lines, and lines of MIN_WORDS words."""
+    """(hash0, hash1, .., key, at): each unit's line hashes, 0 after its last, and the numbers of its lines."""
     n = F.size("hashes")
-    gram = F.when(
-        n >= GRAM,
-        F.transform(
-            F.sequence(F.lit(0), n - GRAM), lambda i: F.xxhash64(*(F.get("hashes", i + k) for k in range(GRAM)))
-        ),
-    ).otherwise(F.array().cast("array<bigint>"))
-    with_grams = lines.select("key", "hashes", "words", gram.alias("grams"))
-    m = F.size("grams")
-
-    def least(i):
-        """Whether gram i is the rightmost least of some window (or of all grams, if they are fewer)."""
-        mine = F.get("grams", i)
-        chosen = F.lit(False)
-        for begin in range(-WINDOW + 1, 1):
-            others = []
-            for k in range(WINDOW):
-                other = F.get("grams", i + begin + k)
-                better = mine <= other if begin + k < 0 else mine < other
-                others.append(F.lit(True) if begin + k == 0 else better)
-            inside = (i + begin >= 0) & (i + begin + WINDOW <= m)
-            every = others[0]
-            for o in others[1:]:
-                every = every & o
-            chosen = chosen | (inside & F.coalesce(every, F.lit(False)))
-        return chosen | (m < WINDOW)
-
-    chosen = F.when(m > 0, F.filter(F.sequence(F.lit(0), m - 1), least)).otherwise(F.array().cast("array<int>"))
-    long_lines = F.filter(
-        F.transform("words", lambda w, i: F.when(w >= MIN_WORDS, i)), lambda i: i.isNotNull()
-    )
-    prints = F.concat(
-        F.transform(chosen, lambda i: F.struct(F.get("grams", i).alias("print"), i.alias("at"))),
-        F.transform(long_lines, lambda i: F.struct(F.get("hashes", i).alias("print"), i.alias("at"))),
-    )
-    return with_grams.select("key", F.explode(prints).alias("p")).select("p.print", "key", "p.at")
-
 
-def repeated_runs(lines: DataFrame) -> DataFrame:
-    """(key, removed): ranges of line numbers to remove, for documents that have some."""
-    prints = fingerprints(lines)
+    def enough(i, size):
+        """Whether the size lines from i on have MIN_WORDS words."""
+        words = F.get("words", i)
+        for k in range(1, size):
+            words = words + F.get("words", i + k)
+        return words >= MIN_WORDS
+
+    def unit(i, size):
+        """The size lines from i on, if they are a unit; else null."""
+        whole = F.lit(True) if size == MIN_LINES else enough(i, size)
+        if size > 1:
+            # Units of one line fewer on both sides, or what covers them, cover all lines.
+            whole = whole & ~(enough(i, size - 1) & enough(i + 1, size - 1))
+        hashes = [F.get("hashes", i + k) if k < size else F.lit(0).cast("bigint") for k in range(MIN_LINES)]
+        named = [h.alias(f"hash{k}") for k, h in enumerate(hashes)]
+        return F.when((i + size <= n) & whole, F.struct(*named, F.slice("numbers", i + 1, size).alias("at")))
+
+    units = F.transform("hashes", lambda _, i: F.array(*(unit(i, size) for size in range(1, MIN_LINES + 1))))
+    units = F.filter(F.flatten(units), lambda u: u.isNotNull())
+    return lines.select("key", F.explode(units).alias("u")).select("u.*", "key")
+
+
+def repeated_lines(lines: DataFrame) -> DataFrame:
+    """(key, removed): numbers of the lines to remove, some more than once, for documents that have some."""
+    prints = fingerprints(lines).withColumn("place", F.struct("key", F.get("at", F.lit(0)).alias("line")))
+    unit = [f"hash{k}" for k in range(MIN_LINES)]
     first = (
-        prints.groupBy("print")
-        .agg(F.min(F.struct("key", "at")).alias("first"), F.count(F.lit(1)).alias("n"))
+        prints.groupBy(*unit)
+        .agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
-        .select("print", "first")
-    )
-    later = (
-        prints.join(first, "print")
-        .where(F.struct("key", "at") != F.col("first"))
-        .select("key", F.col("first.key").alias("key0"), (F.col("at") - F.col("first.at")).alias("shift"))
-    )
-    # A copy of a long document meets its original on one alignment in many fingerprints.
-    later = later.distinct()
-    mine = lines.select("key", "hashes", "words", "numbers")
-    theirs = lines.select(F.col("key").alias("key0"), F.col("hashes").alias("hashes0"))
-    aligned = later.join(mine, "key").join(theirs, "key0")
-    n = F.size("hashes")
-    breaks = F.filter(
-        F.sequence(F.lit(-1), n),
-        lambda i: (i < 0)
-        | (i >= n)
-        | (i < F.col("shift"))
-        | ~F.coalesce(
-            F.get("hashes", i) == F.get("hashes0", F.when(i >= F.col("shift"), i - F.col("shift"))), F.lit(False)
-        ),
-    )
-    aligned = aligned.select("key", "words", "numbers", breaks.alias("breaks"))
-    runs = F.filter(
-        F.transform(
-            F.sequence(F.lit(0), F.size("breaks") - 2),
-            lambda j: F.struct(
-                (F.get("breaks", j) + 1).alias("begin"), (F.get("breaks", j + 1) - F.get("breaks", j) - 1).alias("size")
-            ),
-        ),
-        lambda r: r["size"] > 0,
-    )
-
-    def counts(r):
-        words = F.aggregate(F.slice("words", r["begin"] + 1, r["size"]), F.lit(0), lambda a, w: a + w)
-        return (r["size"] >= MIN_LINES) | (words >= MIN_WORDS)
-
-    gone = F.transform(
-        F.filter(runs, counts),
-        lambda r: F.struct(
-            F.get("numbers", r["begin"]).alias("first"), F.get("numbers", r["begin"] + r["size"] - 1).alias("last")
-        ),
-    )
-    # A generator and no filter: a filter on the ranges would be pushed below the projections, and there work out
-    # the breaks anew for every run.
-    return (
-        aligned.select("key", F.explode(gone).alias("gone"))
-        .groupBy("key")
-        .agg(F.collect_set("gone").alias("removed"))
+        .select(*unit, "first")
     )
+    later = prints.join(first.hint("merge"), unit).where(F.col("place") != F.col("first"))
+    return later.groupBy("key").agg(F.flatten(F.collect_list("at")).alias("removed"))
 
 
 def line_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -148,23 +91,23 @@ def line_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     # One row a document, by key: equal rows would meet each other on every alignment.
     lines = line_table(docs, id_column, text_column).dropDuplicates(["key"])
     lines = materialize(lines, work_path(spark, "lines"))
-    removed = repeated_runs(lines).select(
+    removed = repeated_lines(lines).select(
         F.col("key.id").alias("id"), F.col("key.text_hash").alias("text_hash"), "removed"
     )
     text = text_of(text_column)
-    rows = docs.select(F.col(id_column).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    # Split below the join: above it, each lookup of a line would split the text anew.
+    rows = docs.select(
+        F.col(id_column).alias("doc_id"), F.split(text, "\n", -1).alias("lines"), F.xxhash64(text).alias("text_hash")
+    )
     same = rows["doc_id"].eqNullSafe(removed["id"]) & (rows["text_hash"] == removed["text_hash"])
     # The documents with runs grow with the corpus, so they are never broadcast, however few a small corpus has.
-    rows = rows.join(removed.hint("merge"), same, "left").select("doc_id", "text", "removed")
-    all_lines = F.split("text", "\n", -1)
-
-    def stays(line, number):
-        inside = F.exists("removed", lambda r: (number >= r["first"]) & (number <= r["last"]))
-        return (F.trim(line) == "") | ~inside
-
-    kept = F.when(F.col("removed").isNull(), all_lines).otherwise(F.filter(all_lines, stays))
+    rows = rows.join(removed.hint("merge"), same, "left").select("doc_id", "lines", "removed")
+    numbers = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "removed")
+    kept = F.when(F.col("removed").isNull(), F.col("lines")).otherwise(
+        F.transform(numbers, lambda i: F.get("lines", i))
+    )
     filled = lambda lines: F.size(F.filter(lines, lambda x: F.trim(x) != "")).cast("bigint")
-    rows = rows.select("doc_id", filled(all_lines).alias("n_lines"), kept.alias("kept"))
+    rows = rows.select("doc_id", filled("lines").alias("n_lines"), kept.alias("kept"))
     return rows.select(
         "doc_id",
         "n_lines",

@@ -87,6 +87,37 @@ def test_line_dedup(spark):
     ]
 
 
+def without_repeats(rows):
+    """The rows' texts without lines that lie in a run of 3 lines or 50 words of an earlier place, by brute force."""
+    trimmed = [[(k, x.strip(" \t\n\v\f\r")) for k, x in enumerate((t or "").split("\n"))] for _, t in rows]
+    docs = [[(k, x) for k, x in lines if x] for lines in trimmed]
+    out = []
+    for d, mine in enumerate(docs):
+        gone = set()
+        for e in range(d + 1):
+            theirs = docs[e]
+            for i, j in ((i, j) for i in range(len(mine)) for j in range(i if e == d else len(theirs))):
+                size = 0
+                while i + size < len(mine) and j + size < len(theirs) and mine[i + size][1] == theirs[j + size][1]:
+                    size += 1
+                if size >= 3 or sum(len(mine[i + k][1].split()) for k in range(size)) >= 50:
+                    gone.update(mine[i + k][0] for k in range(size))
+        lines = (rows[d][1] or "").split("\n")
+        out.append((rows[d][0], len(mine), len(gone), "\n".join(x for k, x in enumerate(lines) if k not in gone)))
+    return out
+
+
+def test_line_dedup_of_frequent_lines(spark):
+    """Each unit of doc 4 leads first to another document, which shares only a part of what doc 3 shares."""
+    rows = [(1, "a\nb\nq"), (2, "b\nc\nr"), (3, "a\nb\nc"), (4, "a\nb\nc")]
+    rng = random.Random(7)
+    lines = [f"line {k}" + " w" * rng.choice([0, 0, 5, 18, 28, 46, 60]) for k in range(25)]
+    rows += [(k, "\n".join(rng.choices(lines + [""], k=rng.randint(1, 9)))) for k in range(10, 150)]
+    rows += [(k, rows[rng.randrange(100)][1]) for k in range(200, 230)] + [(300, "\n".join(lines[:2] * 9))]
+    got = [tuple(r) for r in line_dedup(frame(spark, rows)).orderBy("doc_id").collect()]
+    assert got[3] == (4, 3, 3, "") and got == without_repeats(rows)
+
+
 def test_warc_round_trip(spark, tmp_path):
     record = warc.write_record
     parts = [

@@ -118,6 +118,19 @@ def test_line_dedup_of_frequent_lines(spark):
     assert got[3] == (4, 3, 3, "") and got == without_repeats(rows)
 
 
+def test_line_dedup_of_two_line_passages(spark):
+    """Passages of two lines that have 50 words only together, between lines of their own; 49 words stay."""
+    rows = []
+    for k in range(24):
+        short = 1 + k if k % 2 else 4
+        passage = [f"s{k}" + " w" * (short - 1), f"t{k}" + " w" * (49 - short - (k == 23))]
+        for i in (k, 100 + k):
+            rows.append((i, "\n".join([f"{i} before", f"{i} b", *passage, f"{i} after", f"{i} a"])))
+    rows.sort()
+    got = [tuple(r) for r in line_dedup(frame(spark, rows)).orderBy("doc_id").collect()]
+    assert [r[2] for r in got] == [0] * 24 + [2] * 23 + [0] and got == without_repeats(rows)
+
+
 def test_warc_round_trip(spark, tmp_path):
     record = warc.write_record
     parts = [

@@ -1,9 +1,9 @@
 """Removal of repeated runs of lines by fingerprints of lines, in DataFrame operations only.
 
-Lines are what newlines part, with white space at both ends left out of the comparison; blank lines are never
-compared or removed. Each document becomes an array of 64-bit line hashes. Runs of MIN_LINES lines or of MIN_WORDS
-words that occur at an earlier place (by the document's id, then its text's hash, then the line) are removed from the
-later place. A document can repeat itself too.
+Lines are what newlines part, with ASCII white space at both ends left out of the comparison; it parts words too.
+Blank lines are never compared or removed. Each document becomes an array of 64-bit line hashes. Runs of MIN_LINES
+lines or of MIN_WORDS words that occur at an earlier place (by the document's id, then its text's hash, then the line)
+are removed from the later place. A document can repeat itself too.
 
 Fingerprints are those of winnowing with a window of one: every unit of neighbouring lines that is a run to remove by
 itself, which is MIN_LINES lines, or fewer that have MIN_WORDS words together. A line lies in a repeated run exactly
@@ -22,25 +22,30 @@ places, since each removed line matches an earlier one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesela.llm.common import materialize, text_of, work_path
 
 MIN_LINES = 3
 MIN_WORDS = 50
+WHITE_SPACE = " \t\n\v\f\r"
+
+
+def trimmed(line: Column) -> Column:
+    return F.btrim(line, F.lit(WHITE_SPACE))
 
 
 def line_table(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """One row for each document: key (id, hash of the text), hashes, word counts and numbers of its lines."""
     text = text_of(text_column)
     rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("at"), F.trim(x).alias("line")))
+    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("at"), trimmed(x).alias("line")))
     rows = rows.select("id", "text_hash", F.filter(lines, lambda x: x["line"] != "").alias("lines"))
     return rows.select(
         F.struct("id", "text_hash").alias("key"),
         F.transform("lines", lambda x: F.xxhash64(x["line"])).alias("hashes"),
-        F.transform("lines", lambda x: F.size(F.split(x["line"], " +"))).alias("words"),
+        F.transform("lines", lambda x: F.size(F.split(x["line"], f"[{WHITE_SPACE}]+"))).alias("words"),
         F.transform("lines", lambda x: x["at"]).alias("numbers"),
     )
 
@@ -106,7 +111,7 @@ def line_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     kept = F.when(F.col("removed").isNull(), F.col("lines")).otherwise(
         F.transform(numbers, lambda i: F.get("lines", i))
     )
-    filled = lambda lines: F.size(F.filter(lines, lambda x: F.trim(x) != "")).cast("bigint")
+    filled = lambda lines: F.size(F.filter(lines, lambda x: trimmed(x) != "")).cast("bigint")
     rows = rows.select("doc_id", filled("lines").alias("n_lines"), kept.alias("kept"))
     return rows.select(
         "doc_id",

@@ -131,6 +131,17 @@ def test_line_dedup_of_two_line_passages(spark):
     assert [r[2] for r in got] == [0] * 24 + [2] * 23 + [0] and got == without_repeats(rows)
 
 
+def test_line_dedup_of_other_white_space(spark):
+    tabs = "\t".join(["w"] * 50)
+    rows = [
+        (1, "a b\nc d\ne f"), (2, "a b\r\nc d\t\r\n\r\n\t\r\n\ve f\f\r\nown\r\n"), (3, f"x\n{tabs}"), (4, f"{tabs}\r\ny"),
+        (5, "\t\n\r\n \v"),
+    ]
+    got = [tuple(r) for r in line_dedup(frame(spark, rows)).orderBy("doc_id").collect()]
+    assert got == without_repeats(rows)
+    assert got[1:] == [(2, 4, 3, "\r\n\t\r\nown\r\n"), (3, 2, 0, rows[2][1]), (4, 2, 1, "y"), (5, 0, 0, rows[4][1])]
+
+
 def test_warc_round_trip(spark, tmp_path):
     record = warc.write_record
     parts = [

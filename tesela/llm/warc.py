@@ -4,7 +4,9 @@ A server-not-modified revisit holds no body: the archive had met the page before
 resolved by an as-of join: of the full responses of the same canonical URL, the latest one before the revisit
 supplies the body. Validators are checked where both records have them: equal strong ETags, or without ETags equal
 Last-Modified dates. The revisit's headers then replace those of the response, except for the ones that describe the
-body or the connection.
+body or the connection. Full responses are those with a status in FULL_STATUS: a 206 holds a part, a 304 no body, and
+an error isn't the page. A revisit is a not-modified one by its WARC-Profile or, without one, by its status 304; those
+of other profiles (identical payload digest) refer to a digest, not to an earlier time, and are never resolved here.
 
 The join goes by (canonical URL, time slot): inside a slot a window carries the latest response forward; each slot's
 last response is a row of a small table, whose windows carry it to later slots of the same URL. So a URL that holds a
@@ -47,8 +49,14 @@ NOT_MERGED = (
     "upgrade",
 )
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
+#: WARC 1.0 and 1.1 name the profile under folders of their own.
+NOT_MODIFIED_PROFILE = "/revisit/server-not-modified/?$"
+NOT_MODIFIED_STATUS = 304
+#: Statuses of stored responses that can supply a revisit's body.
+FULL_STATUS = (200,)
 SLOT_SECONDS = 86_400
 
+
 def canonical_url(url: Column) -> Column:
     """host/path?query in one form: no scheme, user, default port, 'www.', fragment, trailing slash or utm_ fields;
     lower-case host, query fields sorted."""
@@ -76,15 +84,19 @@ def _lower_keys(headers: Column) -> Column:
 def resolve_revisits(records: DataFrame, slot_seconds: int = SLOT_SECONDS) -> DataFrame:
     """One row for each revisit: record_id, url, ts, canonical_url, outcome, refers_to, headers.
 
-    records: record_id, type ('response' or 'revisit'), url, ts, headers. outcome is 'resolved', 'etag-mismatch',
-    'date-mismatch' or 'no-response'. refers_to is the response's record_id wherever there is one; headers are merged
+    records: record_id, type ('response' or 'revisit'), url, ts, status, headers, and profile unless no record has one.
+    outcome is 'resolved', 'etag-mismatch', 'date-mismatch', 'no-response' or 'other-profile'. refers_to is the response's record_id wherever there is one; headers are merged
     where the revisit is resolved, and its own elsewhere.
     """
-    rows = records.where(F.col("type").isin("response", "revisit")).select(
+    full = F.coalesce((F.col("type") == "response") & F.col("status").isin(*FULL_STATUS), F.lit(False))
+    profile = F.nullif(F.trim("profile"), F.lit("")) if "profile" in records.columns else F.lit(None).cast("string")
+    not_modified = F.coalesce(profile.rlike(NOT_MODIFIED_PROFILE), F.col("status") == NOT_MODIFIED_STATUS, F.lit(False))
+    rows = records.where(full | (F.col("type") == "revisit")).select(
         "record_id",
         "url",
         "ts",
-        (F.col("type") == "response").alias("full"),
+        full.alias("full"),
+        not_modified.alias("not_modified"),
         canonical_url(F.col("url")).alias("canonical_url"),
         _lower_keys(F.col("headers")).alias("headers"),
     )
@@ -110,13 +122,14 @@ def resolve_revisits(records: DataFrame, slot_seconds: int = SLOT_SECONDS) -> Da
         .select("canonical_url", "slot", "far")
     )
     found = here.where(~F.col("full")).join(before, ["canonical_url", "slot"], "left")
-    hit = F.coalesce("near", "far")
-    found = found.select("record_id", "url", "ts", "canonical_url", "headers", hit.alias("hit"))
+    hit = F.when(F.col("not_modified"), F.coalesce("near", "far"))
+    found = found.select("record_id", "url", "ts", "canonical_url", "headers", "not_modified", hit.alias("hit"))
     mine, theirs = F.col("headers"), F.map_from_entries("hit.entries")
     etag, held_etag = F.try_element_at(mine, F.lit("etag")), F.try_element_at(theirs, F.lit("etag"))
     date, held_date = (F.try_element_at(m, F.lit("last-modified")) for m in (mine, theirs))
     outcome = (
-        F.when(F.col("hit").isNull(), "no-response")
+        F.when(~F.col("not_modified"), "other-profile")
+        .when(F.col("hit").isNull(), "no-response")
         .when(etag.isNotNull() & held_etag.isNotNull() & (_strong(etag) != _strong(held_etag)), "etag-mismatch")
         .when((etag.isNull() | held_etag.isNull()) & (date != held_date), "date-mismatch")
         .otherwise("resolved")

@@ -3,7 +3,9 @@
 Terms of a text are its words and the first PREFIXES bytes of longer words, as 64-bit hashes, each present or not.
 The model is w0 + sum of w_i + sum over pairs of <v_i, v_j>, so that an insult near a mention of a group can weigh
 more than both apart. Only terms that the training sample shows to matter take part: the TERMS terms of greatest
-chi-squared with the label that at least MIN_ROWS sample rows have. The sample holds at most MAX_TRAIN labelled rows
+chi-squared with the label that at least MIN_ROWS sample rows have, and the PAIR_TERMS next ones by chi-squared within
+the rows that hold one of the STRONG greatest: a term that matters only in a pair shows nothing alone. All other terms
+have no weight: fitted over every hashed term, the model learned the sample by heart (README). The sample holds at most MAX_TRAIN labelled rows
 (those whose ids have the least hashes), so the model has a fixed size and is broadcast. Scoring reads whole texts
 and never the labels, the language, the source or the id.
 
@@ -28,6 +30,9 @@ from tesela.llm.wordhash import LOWER, NOT_ALNUM, kinds_of, mix, segments, words
 
 PREFIXES = (4, 5)
 TERMS = 4096
+#: Terms chosen within the rows that hold one of the STRONG terms.
+PAIR_TERMS = 256
+STRONG = 64
 MIN_ROWS = 3
 FACTORS = 8
 #: Labelled rows that training takes at most.
@@ -69,9 +74,9 @@ def present(data: np.ndarray, offsets: np.ndarray, known: np.ndarray) -> tuple[n
     return pair & 0xFFFFFFFF, np.searchsorted(pair >> 32, np.arange(len(offsets)))
 
 
-def choose_terms(texts: pa.Array, labels: np.ndarray, limit: int = TERMS) -> np.ndarray:
-    """The terms of greatest chi-squared with the label."""
-    seen, marks = [], []
+def choose_terms(texts: pa.Array, labels: np.ndarray, limit: int = TERMS, pairs: int = PAIR_TERMS) -> np.ndarray:
+    """The terms of greatest chi-squared with the label, in all rows and in those that hold a strong term."""
+    seen, at = [], []
     for a, _, data, offsets in text_slices(texts):
         h, row = terms(data, offsets)
         order = np.lexsort((h, row))
@@ -79,18 +84,33 @@ def choose_terms(texts: pa.Array, labels: np.ndarray, limit: int = TERMS) -> np.
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
         seen.append(h[new])
-        marks.append(labels[a + row[new]].astype(np.int32))
+        at.append(a + row[new])
     if not seen:
         return np.zeros(0, np.uint64)
     found, where = np.unique(np.concatenate(seen), return_inverse=True)
+    rows = np.concatenate(at)
+
+    def greatest(gain: np.ndarray, most: int) -> np.ndarray:
+        best = np.argsort(-gain, kind="stable")[:most]
+        return best[gain[best] > 0]
+
+    best = greatest(_chi_squared(where, labels[rows], len(found), labels), limit)
+    strong = np.zeros(len(labels), bool)
+    strong[rows[np.isin(where, best[:STRONG])]] = True
+    inside = strong[rows]
+    gain = _chi_squared(where[inside], labels[rows[inside]], len(found), labels[strong])
+    gain[best] = -1.0
+    return np.sort(found[np.concatenate([best, greatest(gain, pairs)])])
+
+
+def _chi_squared(where: np.ndarray, marks: np.ndarray, size: int, labels: np.ndarray) -> np.ndarray:
+    """Chi-squared of each of size terms with the label, -1 for those of under MIN_ROWS rows."""
     n, n1 = len(labels), int(labels.sum())
-    count = np.bincount(where, minlength=len(found)).astype(float)
-    ones = np.bincount(where, weights=np.concatenate(marks), minlength=len(found))
+    count = np.bincount(where, minlength=size).astype(float)
+    ones = np.bincount(where, weights=marks, minlength=size)
     usual = count * n1 / max(n, 1)
     spread = usual * (1 - n1 / max(n, 1)) * (1 - count / max(n, 1)) + 1e-9
-    gain = np.where(count >= MIN_ROWS, (ones - usual) ** 2 / spread, -1.0)
-    best = np.argsort(-gain, kind="stable")[:limit]
-    return np.sort(found[best[gain[best] > 0]])
+    return np.where(count >= MIN_ROWS, (ones - usual) ** 2 / spread, -1.0)
 
 
 def train(texts: pa.Array, labels: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -> Machine:

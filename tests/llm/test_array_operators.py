@@ -109,3 +109,17 @@ def test_factorization_machine_learns_a_pair():
     assert right.mean() > 0.9
     empty = toxicity.train(utf8(pa.array([], pa.string())), np.zeros(0, int))
     assert toxicity.score_texts(utf8(pa.array(["", "a"])), empty).tolist() == [0.5, 0.5]
+
+
+def test_factorization_machine_learns_a_pair_with_a_term_that_shows_nothing_alone():
+    """The group is in half of the toxic and half of the clean texts; without it 7 of 8 texts can be told at best."""
+    clean, _, _ = labelled(8, 800)
+    marks = ["mild group", "insult", "mild", "group", "", "group", "group", "mild"]
+    texts = [" ".join([*t.split()[:6], marks[k % 8]]) for k, t in enumerate(clean)]
+    labels = np.array([int(k % 8 < 2) for k in range(800)])
+    column = utf8(pa.array(texts))
+    group = toxicity.terms(np.frombuffer(b"group", np.uint8), np.array([0, 5]))[0]
+    assert np.isin(group, toxicity.choose_terms(column.slice(0, 600), labels[:600])).all()
+    machine = toxicity.train(column.slice(0, 600), labels[:600], epochs=30)
+    right = (toxicity.score_texts(column.slice(600), machine) >= 0.5) == labels[600:]
+    assert right.mean() > 7 / 8

@@ -3,10 +3,12 @@
 A key log (digest, stable identifier, content locator; never the text) streams through a keyed aggregate whose
 state lives in RocksDB and in the query's checkpoint. For each digest the state retains the row that stays
 (largest doc_id, ties by the row's place in the log), its locator, and the number of rows seen. Nothing expires, so
-a later run over new rows with the same state folder meets every digest that was ever seen.
+run_state over a grown log with the same folders meets every digest that was ever seen. exact_dedup itself starts from
+fresh folders and removes its state: it deduplicates one table, and no later run meets what it saw.
 
-Hits (digests with two rows or more) are then checked on full bytes: each such row's text is compared with the text
-that the locator of the retained row points to. Rows whose bytes differ under one digest are grouped anew by their
+Hits (digests with two rows or more) are then checked on full bytes, by an aggregate of extremes: the texts of a digest
+are all the same exactly if its least and its greatest are. For that docs is read again; the locator (a file's name and
+a number that holds within one run) is kept with the state, but nothing fetches content by it. Rows whose bytes differ under one digest are grouped anew by their
 whole text, so a digest collision costs time, not correctness. Only rows of hit digests are read again and shuffled.
 
 Defined results: a null text counts as empty; empty texts are equal to each other. A null doc_id is smaller than
@@ -36,7 +38,7 @@ def sha256(text: Column) -> Column:
 
 
 def key_log(docs: DataFrame, id_column: str, text_column: str, digest=sha256) -> DataFrame:
-    """(digest, doc_id, row, file): row numbers the log, file and row together locate the content."""
+    """(digest, doc_id, row, file): row numbers this log, file tells where the row was read."""
     text = text_of(text_column)
     return docs.select(
         digest(text).alias("digest"),

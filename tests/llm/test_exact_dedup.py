@@ -2,7 +2,7 @@ from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
-from tesela.llm.exact_dedup import exact_dedup, keep_one
+from tesela.llm.exact_dedup import exact_dedup, keep_one, key_log, latest_state, run_state
 
 ROWS = [
     (1, "a b", 9), (2, "a b", 8), (3, "A b", 7), (None, "a b", 6), (5, None, 5), (6, "", 4), (7, "x" * 200_000, 3),
@@ -48,3 +48,14 @@ def test_empty_table(spark):
     docs = frame(spark, [])
     assert exact_dedup(docs).collect() == []
     assert keep_one(docs).collect() == []
+
+
+def test_state_meets_what_an_earlier_run_saw(spark, tmp_path):
+    log, state, out = (str(tmp_path / n) for n in ("log", "state", "out"))
+    for rows in ([(1, "a", 0), (2, "b", 0)], [(3, "a", 0), (0, "b", 0), (4, "c", 0)]):
+        new = key_log(frame(spark, rows), "doc_id", "text")
+        new.write.mode("append").parquet(log)
+        run_state(spark, log, new.schema, state, out)
+    changed = "digest binary, best struct<doc_id:bigint,row:bigint,file:string>, group_size bigint, batch int"
+    found = latest_state(spark, out, changed).collect()
+    assert sorted((r.keep_id, r.group_size) for r in found) == [(2, 2), (3, 2), (4, 1)]

@@ -10,14 +10,17 @@ turn, so its estimates are (c(v w) - 1) / (c(v) - 1) and (c(w) - 1) / (N - 1). A
 All counts cover the whole training part and are never held in one place:
 
 1. Tasks cut their rows into blocks of about BLOCK_TOKENS tokens. A block is written once packed (its rows,
-   compressed), and once as its distinct words and pairs (64-bit hashes) with their training counts, by ranges of
-   the hash ("parts").
-2. Each part sums the counts of its keys over all blocks, and answers each block with the sums alone, in the order
-   of the block's keys. The number of parts grows with the text, so a part has a bounded size; frequent words
-   are counted inside their block first, so none makes a part large.
-3. Each block meets the answers of all parts and writes, for each row, the counts of its tokens.
-4. The weights are learned from a histogram of all training tokens over bucket and rounded log estimates (its size is
-   fixed), and each row is scored.
+   compressed), and once as its distinct words and pairs (64-bit hashes) with their training counts, in at most FAN
+   ranges of the hash.
+2. Where FAN ranges aren't enough for parts of about PART_BYTES of text, the pieces of one range are merged in groups
+   and cut into FAN finer ranges, again and again. So each level has a fixed number of rows for each block or group,
+   and all tables grow in proportion to the text: 50 GB take one level, 100 TB two.
+3. Each part of the last level sums the counts of its keys, and answers each of its pieces with the sums alone, in the
+   order of the piece's keys; the groups above hand the answers on to theirs. Frequent words are counted inside their
+   block first, so none makes a part large.
+4. Each block meets the answers of its ranges and writes, for each row, the counts of its tokens.
+5. The weights are learned from a histogram of all training tokens over bucket and rounded log estimates (its size is
+   fixed), and each row is scored. Both go through RUN_TOKENS tokens at a time, however long texts are.
 
 Intermediate tables lie in the shared folder; losing an executor repeats tasks only.
 
@@ -43,6 +46,10 @@ from tesela.llm.wordhash import LOWER, SPACE, kinds_of, mix, segments, words
 BLOCK_TOKENS = 1 << 20
 #: Text bytes for each part.
 PART_BYTES = 24 << 20
+#: Ranges of the hash that a block, or a group of pieces, is cut into at most.
+FAN = 2048
+#: Tokens whose estimates a worker holds at a time.
+RUN_TOKENS = 1 << 18
 BUCKETS = 24
 END = np.uint64(0x7C15B1E5ED0FACE1)
 EM_ROUNDS = 60
@@ -96,9 +103,20 @@ def pairs(t: np.ndarray) -> np.ndarray:
     return mix(before * np.uint64(0x9E3779B97F4A7C15) + t) & ~np.uint64(0xFF)
 
 
-def part_bounds(keys: np.ndarray, n_parts: int) -> np.ndarray:
+def part_bounds(keys: np.ndarray, n_parts: int, parts: range) -> np.ndarray:
+    """Where each of the parts begins among ascending keys, and where the last ends; n_parts cut all hashes evenly."""
     part = (keys >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)
-    return np.searchsorted(part, np.arange(n_parts + 1))
+    return np.searchsorted(part, np.arange(parts.start, parts.stop + 1))
+
+
+def cut_rows(found: list[tuple[np.ndarray, np.ndarray]], n_parts: int, parts: range) -> Iterator[tuple[int, list[bytes]]]:
+    """(part, packed keys and counts of words, of pairs) for each of the parts; found: ascending keys with counts."""
+    cuts = [part_bounds(keys, n_parts, parts) for keys, _ in found]
+    for k, part in enumerate(parts):
+        row = []
+        for (keys, counts), cut in zip(found, cuts):
+            row += [pack_keys(keys[cut[k] : cut[k + 1]]), pack_integers(counts[cut[k] : cut[k + 1]])]
+        yield part, row
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -125,7 +143,7 @@ def _counted(table: pa.Table):
     found = []
     for h in (t, pairs(t)):
         keys, where = np.unique(h, return_inverse=True)
-        found.append((keys, where, np.bincount(where, weights=learn, minlength=len(keys)).astype(np.uint32)))
+        found.append((keys, where, np.bincount(where, weights=learn, minlength=len(keys)).astype(np.uint64)))
     return bounds, found
 
 
@@ -140,12 +158,7 @@ def _write_blocks(n_parts: int):
                 out.write_table(table.combine_chunks())
             rows = [(-1, [sink.getvalue(), None, None, None])]
             _, found = _counted(table)
-            cuts = [part_bounds(keys, n_parts) for keys, _, _ in found]
-            for p in range(n_parts):
-                row = []
-                for (keys, _, counts), cut in zip(found, cuts):
-                    row += [pack_keys(keys[cut[p] : cut[p + 1]]), pack_integers(counts[cut[p] : cut[p + 1]])]
-                rows.append((p, row))
+            rows += cut_rows([(keys, counts) for keys, _, counts in found], n_parts, range(n_parts))
             for k in range(0, len(rows), 64):
                 some = rows[k : k + 64]
                 yield pa.RecordBatch.from_arrays(
@@ -160,45 +173,96 @@ def _write_blocks(n_parts: int):
     return run
 
 
-def _sum_part(table: pa.Table) -> pa.Table:
-    """For one part: the sums of its keys, for each block; and the part's tokens and distinct words, once."""
-    blocks, part = table.column("block").to_pylist(), table.column("part")[0].as_py()
-    answers, totals = [], (0, 0)
-    for which, (key_column, count_column) in enumerate((("a", "b"), ("c", "d"))):
+_PIECES = "block string, part int, a binary, b binary, c binary, d binary"
+_SUMS = "block string, part int, words binary, pairs binary, n bigint, v bigint"
+
+
+def _merged(table: pa.Table):
+    """Of the pieces of one range, for words and for pairs: distinct keys, sums, and each piece's places among them."""
+    for key_column, count_column in (("a", "b"), ("c", "d")):
         keys = [unpack_keys(k.as_py()) for k in table.column(key_column)]
-        counts = [unpack_integers(c.as_py(), np.uint32) for c in table.column(count_column)]
-        known, where = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.bincount(where, weights=np.concatenate(counts), minlength=len(known)).astype(np.uint64)
-        if which == 0:
-            totals = int(sums.sum()), int(np.count_nonzero(sums))
         ends = np.cumsum([0, *map(len, keys)])
-        answers.append([pack_integers(sums[where[a:b]]) for a, b in zip(ends[:-1], ends[1:])])
-    n = len(blocks)
+        known, where = np.unique(np.concatenate(keys), return_inverse=True)
+        del keys
+        sums = np.zeros(len(known), np.uint64)
+        for a, b, packed in zip(ends[:-1], ends[1:], table.column(count_column)):
+            sums[where[a:b]] += unpack_integers(packed.as_py(), np.uint64)  # keys of one piece are distinct
+        yield known, sums, [where[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+
+def _answers(table: pa.Table, sums: list, places: list, totals: tuple[int, int] = (0, 0)) -> pa.Table:
+    n = table.num_rows
+    packed = [pa.array([pack_integers(s[w]) for w in where], pa.binary()) for s, where in zip(sums, places)]
+    own = [pa.array([t] + [0] * (n - 1), pa.int64()) for t in totals]
     return pa.table(
-        {
-            "block": pa.array(blocks),
-            "part": pa.array([part] * n, pa.int32()),
-            "words": pa.array(answers[0], pa.binary()),
-            "pairs": pa.array(answers[1], pa.binary()),
-            "n": pa.array([totals[0]] + [0] * (n - 1), pa.int64()),
-            "v": pa.array([totals[1]] + [0] * (n - 1), pa.int64()),
-        }
+        [table.column("block"), table.column("part"), *packed, *own], names=["block", "part", "words", "pairs", "n", "v"]
     )
 
 
+def _sum_part(table: pa.Table) -> pa.Table:
+    """For one part: the sums of its keys, for each piece; and the part's tokens and distinct words, once."""
+    (_, words_, at), (_, pairs_, at_pairs) = _merged(table)
+    totals = int(words_.sum()), int(np.count_nonzero(words_))
+    return _answers(table, [words_, pairs_], [at, at_pairs], totals)
+
+
+def _merge_pieces(n_parts: int, split: int):
+    """The pieces of a group as one, cut into split finer ranges of n_parts in all."""
+
+    def run(table: pa.Table) -> pa.Table:
+        first = table.column("part")[0].as_py() * split
+        group = table.column("group")[0].as_py()
+        found = [(known, sums) for known, sums, _ in _merged(table)]
+        rows = list(cut_rows(found, n_parts, range(first, first + split)))
+        columns = [pa.array([r[c] for _, r in rows], pa.binary()) for c in range(4)]
+        return pa.table(
+            [pa.array([group] * len(rows)), pa.array([p for p, _ in rows], pa.int32()), *columns],
+            names=["block", "part", "a", "b", "c", "d"],
+        )
+
+    return run
+
+
+def _in_order(answers: pa.Table, name: str) -> np.ndarray:
+    """The sums of all parts of one block or group, in the order of its keys."""
+    order = np.argsort(answers.column("part").to_numpy())
+    column = answers.column(name)
+    return np.concatenate([unpack_integers(column[int(i)].as_py(), np.uint64) for i in order])
+
+
+def _hand_on(table: pa.Table, answers: pa.Table) -> pa.Table:
+    """The answers to a group, for each piece in it; the part's totals come along once."""
+    places = [where for _, _, where in _merged(table)]
+    totals = tuple(sum(answers.column(c).to_pylist()) for c in ("n", "v"))
+    return _answers(table, [_in_order(answers, "words"), _in_order(answers, "pairs")], places, totals)
+
+
+def sum_pieces(pieces: DataFrame, ranges: int, n_parts: int, fan: int) -> DataFrame:
+    """(block, part, words, pairs, n, v): the answers to pieces that are cut into so many ranges of the hash.
+
+    Pieces of a range are summed at once if there are n_parts ranges or more, else by groups and finer ranges.
+    """
+    if ranges >= n_parts:
+        return pieces.repartition(ranges, "part").groupBy("part").applyInArrow(_sum_part, _SUMS)
+    spark = pieces.sparkSession
+    groups = -(-n_parts // ranges)
+    split = min(fan, groups)
+    group = F.concat_ws("-", "part", F.pmod(F.xxhash64("block"), F.lit(groups))).alias("group")
+    grouped = pieces.select("*", group).repartition(n_parts, "group")
+    merged = grouped.groupBy("group").applyInArrow(_merge_pieces(ranges * split, split), _PIECES)
+    merged = materialize(merged, work_path(spark, "lm-merged"))
+    answers = sum_pieces(merged, ranges * split, n_parts, fan).withColumnRenamed("block", "group")
+    answers = answers.repartition(n_parts, "group")
+    return grouped.groupBy("group").cogroup(answers.groupBy("group")).applyInArrow(_hand_on, _SUMS)
+
+
 def _count_tokens(n_train: int, v_train: int):
     """A block's rows with the counts of their tokens."""
 
     def run(packed: pa.Table, answers: pa.Table) -> pa.Table:
         table = pa.ipc.open_stream(packed.column("a")[0].as_py()).read_all()
         bounds, found = _counted(table)
-        order = np.argsort(answers.column("part").to_numpy())
-        counts = []
-        for (_, where, _), name in zip(found, ("words", "pairs")):
-            column = answers.column(name)
-            sums = np.concatenate([unpack_integers(column[int(i)].as_py(), np.uint64) for i in order])
-            counts.append(sums[where])
-        word, pair = counts
+        word, pair = (_in_order(answers, name)[where] for (_, where, _), name in zip(found, ("words", "pairs")))
         base = segments(np.log10((word + 1.0) / (n_train + v_train + 1.0)), bounds, np.add, 0.0)
         known = segments((word > 0).astype(np.int64), bounds, np.add, 0)
         cut = list(zip(bounds[:-1], bounds[1:]))
@@ -217,18 +281,30 @@ def _count_tokens(n_train: int, v_train: int):
     return run
 
 
-def _row_counts(batch: pa.RecordBatch, words_column: str, pairs_column: str):
-    """Counts of the tokens, of their contexts and of the pairs, over all rows of a batch, and bounds by row."""
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Counts of tokens, of their contexts and of the pairs, for RUN_TOKENS tokens at most at a time.
+
+    Yields (first row, row after the last, tokens, contexts, pairs, bounds by row); a row of more tokens than that
+    comes alone, in several runs of its own.
+    """
     names = batch.schema.names
-    word = [unpack_integers(x.as_py(), np.uint64) for x in batch.column(names.index(words_column))]
-    pair = [unpack_integers(x.as_py(), np.uint64) for x in batch.column(names.index(pairs_column))]
-    bounds = np.cumsum([0, *map(len, word)])
-    word, pair = np.concatenate(word).astype(float), np.concatenate(pair).astype(float)
-    context = np.empty_like(word)
-    context[1:] = word[:-1]
-    starts = bounds[:-1]
-    context[starts] = word[bounds[1:] - 1]  # the end token stands before a text, and its count is at the text's end
-    return word, context, pair, bounds
+    word_column, pair_column = batch.column(names.index("words")), batch.column(names.index("pairs"))
+    ends = np.cumsum(batch.column(names.index("n_tokens")).to_numpy())
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + RUN_TOKENS, side="right")))
+        word = [unpack_integers(word_column[i].as_py(), np.uint64) for i in range(at, to)]
+        pair = np.concatenate([unpack_integers(pair_column[i].as_py(), np.uint64) for i in range(at, to)])
+        bounds = np.cumsum([0, *map(len, word)])
+        word = np.concatenate(word)
+        context = np.empty_like(word)
+        context[1:] = word[:-1]
+        context[bounds[:-1]] = word[bounds[1:] - 1]  # the end token stands before a text, and its count is at its end
+        for a in range(0, len(word), RUN_TOKENS):
+            b = min(len(word), a + RUN_TOKENS)
+            yield at, to, *(x[a:b].astype(float) for x in (word, context, pair)), np.clip(bounds, a, b) - a
+        at = to
 
 
 def bucket(context: np.ndarray) -> np.ndarray:
@@ -243,18 +319,16 @@ def _ratio(a, b):
 def _histogram(n_train: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            word, context, pair, _ = _row_counts(batch, "words", "pairs")
-            # One occurrence is held out. Contexts at the start of a text share its end token's count.
-            f2 = _ratio(np.maximum(pair - 1, 0), context - 1)
-            f1 = np.maximum(word - 1, 0) / max(n_train - 1, 1)
-            code = bucket(context - 1)
-            for f, steps in ((f2, _FINE), (f1, _COARSE)):
-                fall = 1 + np.floor(-steps * np.log2(np.maximum(f, 1e-300)) + 0.5)
-                code = code * _STEPS + np.where(f > 0, np.minimum(fall, _STEPS - 1), 0).astype(np.int64)
-            codes, n = np.unique(code, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], names=["code", "n"])
+            for _, _, word, context, pair, _ in _runs(batch):
+                # One occurrence is held out. Contexts at the start of a text share its end token's count.
+                f2 = _ratio(np.maximum(pair - 1, 0), context - 1)
+                f1 = np.maximum(word - 1, 0) / max(n_train - 1, 1)
+                code = bucket(context - 1)
+                for f, steps in ((f2, _FINE), (f1, _COARSE)):
+                    fall = 1 + np.floor(-steps * np.log2(np.maximum(f, 1e-300)) + 0.5)
+                    code = code * _STEPS + np.where(f > 0, np.minimum(fall, _STEPS - 1), 0).astype(np.int64)
+                codes, n = np.unique(code, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], names=["code", "n"])
 
     return run
 
@@ -294,19 +368,25 @@ def learn_weights(codes: np.ndarray, n: np.ndarray, v_train: int, rounds: int =
 def _score(n_train: int, v_train: int, weights: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            word, context, pair, bounds = _row_counts(batch, "words", "pairs")
-            w = weights[bucket(context)]
-            p = w[:, 0] * _ratio(pair, context) + w[:, 1] * word / max(n_train, 1) + w[:, 2] / (v_train + 1)
+            score = np.zeros(batch.num_rows)
+            for a, b, word, context, pair, bounds in _runs(batch):
+                w = weights[bucket(context)]
+                p = w[:, 0] * _ratio(pair, context) + w[:, 1] * word / max(n_train, 1) + w[:, 2] / (v_train + 1)
+                score[a:b] += segments(np.log10(p), bounds, np.add, 0.0)
             keep = [batch.column(i) for i in range(5)]
-            score = pa.array(segments(np.log10(p), bounds, np.add, 0.0))
-            yield pa.RecordBatch.from_arrays([*keep, score], names=[*batch.schema.names[:5], "score"])
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(score)], names=[*batch.schema.names[:5], "score"])
 
     return run
 
 
-def lm_scores(docs: DataFrame, learn: Column, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def lm_scores(
+    docs: DataFrame,
+    learn: Column,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    part_bytes: int = PART_BYTES,
+    fan: int = FAN,
+) -> DataFrame:
     """(doc_id, learn, n_tokens, n_known, base_score, score, train_tokens) of each row; learn marks training rows."""
     spark = docs.sparkSession
     ship_package(spark)
@@ -319,17 +399,15 @@ def lm_scores(docs: DataFrame, learn: Column, id_column: str = "doc_id", text_co
         new = {"n_tokens": "bigint", "n_known": "bigint", "base_score": "double", "score": "double"}
         empty = source.select("doc_id", "learn", *(F.lit(None).cast(t).alias(n) for n, t in new.items()))
         return empty.withColumn("train_tokens", F.lit(0).cast("bigint"))
-    n_parts = max(8, -(-size // PART_BYTES))
+    n_parts = max(8, -(-size // part_bytes))
+    ranges = min(fan, n_parts)
     path, sums_path, counts_path = (work_path(spark, f"lm-{n}") for n in ("blocks", "sums", "counts"))
-    blocks = "block string, part int, a binary, b binary, c binary, d binary"
-    map_arrow(source, _write_blocks(n_parts), blocks).withColumn("packed", F.col("part") < 0).write.partitionBy(
+    map_arrow(source, _write_blocks(ranges), _PIECES).withColumn("packed", F.col("part") < 0).write.partitionBy(
         "packed"
     ).option("compression", "uncompressed").parquet(path)
-    packs = spark.read.schema(blocks).parquet(f"{path}/packed=true")
-    keys = spark.read.schema(blocks).parquet(f"{path}/packed=false")
-    sums = keys.repartition(n_parts, "part").groupBy("part").applyInArrow(
-        _sum_part, "block string, part int, words binary, pairs binary, n bigint, v bigint"
-    )
+    packs = spark.read.schema(_PIECES).parquet(f"{path}/packed=true")
+    keys = spark.read.schema(_PIECES).parquet(f"{path}/packed=false")
+    sums = sum_pieces(keys, ranges, n_parts, fan)
     sums = materialize(sums, sums_path)
     remove(spark, f"{path}/packed=false")
     release_shuffles(spark)

@@ -243,7 +243,7 @@ def sum_pieces(pieces: DataFrame, ranges: int, n_parts: int, fan: int) -> DataFr
     Pieces of a range are summed at once if there are n_parts ranges or more, else by groups and finer ranges.
     """
     if ranges >= n_parts:
-        return pieces.repartition(ranges, "part").groupBy("part").applyInArrow(_sum_part, _SUMS)
+        return pieces.repartitionById(ranges, "part").groupBy("part").applyInArrow(_sum_part, _SUMS)
     spark = pieces.sparkSession
     groups = -(-n_parts // ranges)
     split = min(fan, groups)

@@ -213,8 +213,15 @@ def is_contaminated():
     return (hit > 0) & (20 * hit >= F.col("n_words"))
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of docs that aren't contaminated, with all their columns."""
+def keep_clean(
+    docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", any_hit: bool = True
+) -> DataFrame:
+    """The rows of docs without benchmark text, with all their columns.
+
+    any_hit: a row goes if one of its words is hit, so that a passage inside a long text is found; else only if it is
+    contaminated, which the length of the text decides too. Null and empty texts stay, and so do all rows if no item
+    has words; repeated rows stay or go together; columns of any name come back as they were.
+    """
     found = find_occurrences(docs, benchmark, id_column, text_column, keep=tuple(docs.columns))
-    clean = found.where(~is_contaminated())
+    clean = found.where(F.size("hit_words") == 0 if any_hit else ~is_contaminated())
     return clean.select(*(F.col(f"keep_{k}").alias(c) for k, c in enumerate(docs.columns)))

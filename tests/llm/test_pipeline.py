@@ -103,7 +103,7 @@ def no_leaks(docs, items):
         w = tokens(d[1])
         found = [range(k, k + len(x)) for x in windows for k in range(len(w)) if tuple(w[k : k + len(x)]) == x]
         hit = {k for r in found for k in r}
-        if not hit or 20 * len(hit) < len(w):
+        if not hit:
             out.append(d)
     return out
 

@@ -22,10 +22,12 @@ SLICE_BYTES = 1 << 20
 
 
 def shared_base(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, or on one machine one of our own where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not base:
         base = tempfile.mkdtemp(prefix="tesela-shared-")
         spark.sparkContext.setCheckpointDir(base)
@@ -34,7 +36,20 @@ def shared_base(spark: SparkSession) -> str:
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh folder for intermediate tables; it is never reused, so a retried job can't read stale rows."""
-    return f"{shared_base(spark)}/tesela/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_base(spark)}/tesela/{name}-{uuid.uuid4().hex}"
+    _work.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+_work: dict[str, list[str]] = {}
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all intermediate tables that operators of this application have made.
+
+    Results that aren't written yet read such tables, so write them first.
+    """
+    remove(spark, *_work.pop(spark.sparkContext.applicationId, []))
 
 
 def materialize(df: DataFrame, path: str) -> DataFrame:
@@ -52,6 +67,22 @@ def remove(spark: SparkSession, *paths: str) -> None:
         target.getFileSystem(conf).delete(target, True)
 
 
+#: Keys that count as hot at most; the rows of a hot key are over a HOT_KEYS-th of all.
+HOT_KEYS = 1000
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """left joined with right, which has one row for each key and, in count, the number of left's rows with it.
+
+    total: left's rows. Keys with more than a HOT_KEYS-th of them number less than HOT_KEYS, whatever the input, so
+    their rows of right are broadcast, and their rows of left stay where they are; all others meet by a shuffle.
+    """
+    bound = max(HOT_KEYS, total // HOT_KEYS)
+    hot = right.where(F.col(count) > bound)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(F.col(count) <= bound), key)
+    return left.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -93,12 +124,6 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
         at = end
 
 
-def with_columns(batch: pa.RecordBatch, names: list[str], **columns: pa.Array) -> pa.RecordBatch:
-    """The named columns of batch, then the given ones."""
-    arrays = [batch.column(batch.schema.get_field_index(n)) for n in names] + list(columns.values())
-    return pa.RecordBatch.from_arrays(arrays, names=[*names, *columns])
-
-
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     """df.mapInArrow(run, schema) with this package on the executors' path; a worker is trimmed after each task."""
     ship_package(df.sparkSession)

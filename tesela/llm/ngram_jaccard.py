@@ -12,7 +12,8 @@ is one run of all). Two texts are linked if the Jaccard similarity of their sets
    has been reached isn't compared again, so a bucket of near copies costs comparisons in proportion to its size;
    only a forest of the surviving pairs leaves it. Buckets over CHUNK rows are compared in pairs of chunks.
 4. The forest's components are verified exactly, each pair inside one: whole sets are intersected, in pairs of
-   chunks of at most CHUNK_SHINGLES shingles. Counts of links and a forest of links leave a task, never the pairs.
+   chunks of about CHUNK_ROWS rows and CHUNK_SHINGLES shingles at most. Counts of links and a forest of links leave a
+   task, never the pairs.
 
 The result has one row for each row of the input: doc_id, class_id (the least doc_id among all that a chain of
 links reaches), n_links (rows linked to it: those with the same set, and those of linked sets) and n_same (rows with
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesela.llm.common import map_arrow, materialize, remove, text_of, text_slices, utf8, work_path
+from tesela.llm.common import join_counted, map_arrow, materialize, remove, text_of, text_slices, utf8, work_path
 from tesela.llm.components import components
 from tesela.llm.wordhash import LOWER, SPACE, kinds_of, mix, words
 
@@ -45,6 +47,8 @@ STEP = 28
 TOLERANCE = 1e-9
 #: Rows of a bucket that one task compares at most; larger buckets go by pairs of chunks.
 CHUNK = 4096
+#: Rows and shingles of a chunk in verification, about; a task holds a matrix of CHUNK_ROWS by CHUNK_ROWS.
+CHUNK_ROWS = 2048
 CHUNK_SHINGLES = 1 << 20
 #: Representatives whose keys are broadcast at most (about 40 MB); beyond it the join is by shuffle.
 BROADCAST_ROWS = 400_000
@@ -223,76 +227,105 @@ def _candidate_edges(table: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
 
 
-def common_members(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of any two of the sets, as a matrix; its diagonal has no meaning."""
-    n = len(sets)
-    member = np.repeat(np.arange(n), [len(s) for s in sets])
+def common_members(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set on the left with each on the right, as a matrix."""
+    n, sets = len(left), [*left, *right]
+    member = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, where, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    both = np.full((n, n), float(np.count_nonzero(count == n)))
-    some = (count > 1) & (count < n)
+    both = np.full((n, len(right)), np.count_nonzero(count == len(sets)), np.float32)  # exact up to 2**24
+    some = (count > 1) & (count < len(sets))
     number = np.cumsum(some) - 1
     inside = some[where]
     row, column = member[inside], number[where[inside]]
+    del where, member
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    width = max(64, (1 << 22) // n)
+    width = max(64, (1 << 21) // len(sets))
     for at in range(0, int(some.sum()), width):
         low, high = np.searchsorted(column, [at, at + width])
-        block = np.zeros((n, width), np.float32)
+        block = np.zeros((len(sets), width), np.float32)
         block[row[low:high], column[low:high] - at] = 1
-        both += block @ block.T
-    return both.astype(np.int64)
+        both += block[:n] @ block[n:].T
+    return both
+
+
+def _linked(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Which sets on the left are as similar to which on the right as THRESHOLD asks."""
+    both = common_members(left, right)
+    sizes = np.array([len(s) for s in left], np.float32)[:, None], np.array([len(s) for s in right], np.float32)[None, :]
+    over, under = THRESHOLD
+    return (over + under) * both >= over * (sizes[0] + sizes[1])
 
 
 def _verify(table: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Columns comp, i, j, chunk, rid, n_docs, members -> (a, null, links) for rows, (a, b, null) for a forest."""
-    names = table.column_names
-    rids, docs, chunks = (table.column(n).to_numpy() for n in ("rid", "n_docs", "chunk"))
-    members = table.column(names.index("members"))
-    cross = table.column("i").to_numpy() != table.column("j").to_numpy()
-    out_a, out_b, out_links = [], [], []
+    """Columns comp, i, j, chunk, whole, rid, n_docs, members -> (a, null, links) for rows, (a, b, null) for a forest.
+
+    whole is passed on: whether the row's component has one chunk, so that its forest has one star for each class.
+    """
+    rids, docs, chunks, wholes = (table.column(n).to_numpy() for n in ("rid", "n_docs", "chunk", "whole"))
+    members = table.column("members")
+    firsts, seconds = table.column("i").to_numpy(), table.column("j").to_numpy()
     for first, last in zip(bounds[:-1], bounds[1:]):
         rid, at = np.unique(rids[first:last], return_index=True)
         at = at + first
         if len(rid) < 2:
             continue
         sets = [np.frombuffer(members[int(k)].as_py(), np.uint64) for k in at]
-        size = np.array([len(s) for s in sets])
-        both = common_members(sets)
-        over, under = THRESHOLD
-        linked = under * both >= over * (size[:, None] + size[None, :] - both)
-        np.fill_diagonal(linked, False)
-        if cross[first]:
-            linked &= chunks[at][:, None] != chunks[at][None, :]
-        links = linked @ docs[at].astype(np.int64)
-        some = np.flatnonzero(links)
-        out_a.append(rid[some])
-        out_b.append(np.full(len(some), -1))
-        out_links.append(links[some])
-        left, right = [], []
-        free = np.ones(len(rid), bool)
-        for root in some:
-            if not free[root]:
+        if firsts[first] != seconds[first]:
+            left, right = (np.flatnonzero(chunks[at] == c) for c in (firsts[first], seconds[first]))
+            if not len(left) or not len(right):
                 continue
-            free[root] = False
-            queue = [root]
-            while queue:
-                p = queue.pop()
-                new = np.flatnonzero(linked[p] & free)
-                free[new] = False
-                left += [root] * len(new)
-                right += new.tolist()
-                queue += new.tolist()
-        out_a.append(rid[left])
-        out_b.append(rid[right])
-        out_links.append(np.full(len(left), -1))
-    if out_a:
-        a, b, links = (np.concatenate(x).astype(np.int64) for x in (out_a, out_b, out_links))
+        else:
+            left = right = np.arange(len(rid))
+        linked = _linked([sets[k] for k in left], [sets[k] for k in right])
+        weight = docs[at].astype(np.float64)
+        links = np.zeros(len(rid), np.int64)
+        if left is right:
+            np.fill_diagonal(linked, False)
+            links[left] = linked @ weight[right]
+        else:
+            links[left] = linked @ weight[right]
+            links[right] = weight[left] @ linked
+        some = np.flatnonzero(links)
+        roots, others = _stars(linked, left, right, some)
+        a = np.concatenate([rid[some], rid[roots]])
+        b = np.concatenate([np.full(len(some), -1), rid[others]])
+        counted = np.concatenate([links[some], np.full(len(roots), -1)])
+        whole = pa.array(np.full(len(a), wholes[first]))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(a), pa.array(b, mask=b < 0), pa.array(links, mask=links < 0)], names=["a", "b", "links"]
+            [pa.array(a), pa.array(b, mask=b < 0), pa.array(counted, mask=counted < 0), whole],
+            names=["a", "b", "links", "whole"],
         )
 
 
+def _stars(linked: np.ndarray, left: np.ndarray, right: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Roots and the rows that chains of links join them to; a class's root is its least row."""
+    at_left, at_right = (np.full(max(left.max(), right.max()) + 1, -1) for _ in range(2))
+    at_left[left], at_right[right] = np.arange(len(left)), np.arange(len(right))
+    free = np.zeros(len(at_left), bool)
+    free[some] = True
+    roots, others = [], []
+    for root in some:
+        if not free[root]:
+            continue
+        free[root] = False
+        queue = [root]
+        while queue:
+            p = queue.pop()
+            new = []
+            if at_left[p] >= 0:
+                new.append(right[linked[at_left[p]] & free[right]])
+            if at_right[p] >= 0 and left is not right:
+                new.append(left[linked[:, at_right[p]] & free[left]])
+            for found in new:
+                free[found] = False
+                others.append(found)
+                roots.append(np.full(len(found), root))
+                queue += found.tolist()
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(roots), np.concatenate(others)) if roots else (none, none)
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text_hash, text) -> (doc_id, text_hash, set_id, n, sig)."""
     for batch in batches:
@@ -363,7 +396,7 @@ def candidate_edges(reps: DataFrame) -> DataFrame:
 def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, class_id, n_links, n_same) of each row of docs."""
     spark = docs.sparkSession
-    paths = {n: work_path(spark, f"jaccard-{n}") for n in ("rows", "reps", "edges", "links")}
+    paths = {n: work_path(spark, f"jaccard-{n}") for n in ("rows", "reps", "edges", "members", "links", "classes")}
     rows = materialize(describe(docs, id_column, text_column), paths["rows"])
     reps = rows.groupBy("set_id").agg(
         F.min(F.struct("doc_id", "text_hash")).alias("rep"),
@@ -375,28 +408,39 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     reps = materialize(reps.withColumn("rid", F.monotonically_increasing_id()), paths["reps"])
     edges = materialize(candidate_edges(reps), paths["edges"])
     comps = components(edges)
-    found = materialize(_verified(docs, reps, comps, id_column, text_column), paths["links"])
+    found = materialize(_verified(docs, reps, comps, id_column, text_column, paths["members"]), paths["links"])
     links = found.where("links is not null").groupBy("a").agg(F.sum("links").alias("links"))
-    # Chunked components need their forests joined; all other forests are stars around their roots already.
-    roots = components(found.where("b is not null").select("a", "b"))
+    # The forest of a whole component consists of stars around the least row; those of chunks need joining.
+    tree = found.where("b is not null").select("a", "b", "whole")
+    roots = tree.where("whole").select(F.col("b").alias("node"), F.col("a").alias("root"))
+    parts = tree.where("not whole").select("a", "b")
+    if not parts.isEmpty():
+        roots = roots.unionByName(components(parts))
     slim = reps.select("set_id", "rid", "least_id", "n_docs")
     slim = slim.join(links, slim.rid == links.a, "left").join(roots, slim.rid == roots.node, "left")
     slim = slim.withColumn("root", F.coalesce("root", "rid"))
-    class_ids = slim.groupBy("root").agg(F.min("least_id").alias("class_id"))
-    classes = slim.join(class_ids, "root").select(
+    class_ids = slim.groupBy("root").agg(F.min("least_id").alias("class_id"), F.count(F.lit(1)).alias("n_reps"))
+    joined = join_counted(slim.drop("a", "node"), class_ids, "root", "n_reps", reps.count())
+    classes = joined.select(
         "set_id",
         "class_id",
         (F.coalesce("links", F.lit(0)) + F.col("n_docs") - 1).alias("n_links"),
         F.col("n_docs").alias("n_same"),
     )
-    remove(spark, paths["edges"])
-    return rows.select("doc_id", "set_id").join(classes, "set_id").drop("set_id")
+    classes = materialize(classes, paths["classes"])
+    remove(spark, *(paths[n] for n in ("edges", "links", "reps", "members")))
+    return join_counted(rows.select("doc_id", "set_id"), classes, "set_id", "n_same", rows.count()).drop("set_id")
 
 
-def _verified(docs: DataFrame, reps: DataFrame, comps: DataFrame, id_column: str, text_column: str) -> DataFrame:
+def _verified(
+    docs: DataFrame, reps: DataFrame, comps: DataFrame, id_column: str, text_column: str, path: str
+) -> DataFrame:
+    """Counts of links and forests of links of the components, see _verify; path: for the components' members."""
     members = reps.join(comps, reps.rid == comps.node).select("rid", F.col("root").alias("comp"), "n_docs", "n", "rep")
-    sizes = members.groupBy("comp").agg(F.ceil(F.sum("n") / CHUNK_SHINGLES).cast("int").alias("chunks"))
-    members = materialize(members.join(sizes, "comp"), work_path(docs.sparkSession, "jaccard-members"))
+    chunks = F.ceil(F.greatest(F.sum("n") / CHUNK_SHINGLES, F.count(F.lit(1)) / CHUNK_ROWS)).cast("int")
+    sizes = members.groupBy("comp").agg(chunks.alias("chunks"), F.count(F.lit(1)).alias("n_members"))
+    members = join_counted(members, sizes, "comp", "n_members", reps.count())
+    members = materialize(members, path)
     text = text_of(text_column)
     source = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     keys = members.select(
@@ -408,16 +452,19 @@ def _verified(docs: DataFrame, reps: DataFrame, comps: DataFrame, id_column: str
     texts = source.join(keys, mine).select("rid", "comp", "n_docs", "text")
     sets = map_arrow(texts, _members, "rid bigint, comp bigint, n_docs bigint, members binary")
     sets = sets.join(members.select("rid", "chunks"), "rid")
-    sets = _by_chunk_pairs(sets, "chunks").select("comp", "i", "j", "chunk", "rid", "n_docs", "members")
+    whole = (F.col("chunks") == 1).alias("whole")
+    sets = _by_chunk_pairs(sets, "chunks").select("comp", "i", "j", "chunk", whole, "rid", "n_docs", "members")
     sets = sets.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
-    return map_arrow(sets, grouped(_verify, 3), "a bigint, b bigint, links bigint")
+    return map_arrow(sets, grouped(_verify, 3), "a bigint, b bigint, links bigint, whole boolean")
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of docs with all their columns, one document for each class: the one whose id is the class's.
 
-    Ids tell documents apart here; rows that repeat one id stay or go together.
+    Ids tell documents apart here; rows that repeat one id stay or go together. A null id stays only in a class of
+    null ids. Columns of any name come back as they were.
     """
     classes = jaccard_join(docs, id_column, text_column)
-    stay = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(stay, docs[id_column].eqNullSafe(stay["__id"]), "left_semi")
+    mark = f"__{uuid.uuid4().hex}"
+    stay = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(mark)).distinct()
+    return docs.join(stay, docs[id_column].eqNullSafe(stay[mark]), "left_semi")

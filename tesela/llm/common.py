@@ -58,6 +58,11 @@ def materialize(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     """Delete intermediate folders through Hadoop's file system, whatever store they are in."""
     jvm = spark.sparkContext._jvm
@@ -67,7 +72,7 @@ def remove(spark: SparkSession, *paths: str) -> None:
         target.getFileSystem(conf).delete(target, True)
 
 
-#: Keys that count as hot at most; the rows of a hot key are over a HOT_KEYS-th of all.
+#: Keys that count as hot at most; the rows of a hot key are more than a HOT_KEYS-th of all.
 HOT_KEYS = 1000
 
 
@@ -77,7 +82,7 @@ def join_counted(left: DataFrame, right: DataFrame, key: str, count: str, total:
     total: left's rows. Keys with more than a HOT_KEYS-th of them number less than HOT_KEYS, whatever the input, so
     their rows of right are broadcast, and their rows of left stay where they are; all others meet by a shuffle.
     """
-    bound = max(HOT_KEYS, total // HOT_KEYS)
+    bound = max(1, total // HOT_KEYS)
     hot = right.where(F.col(count) > bound)
     rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(F.col(count) <= bound), key)
     return left.join(F.broadcast(hot), key).unionByName(rest)

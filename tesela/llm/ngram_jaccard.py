@@ -265,6 +265,7 @@ def _verify(table: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
     rids, docs, chunks, wholes = (table.column(n).to_numpy() for n in ("rid", "n_docs", "chunk", "whole"))
     members = table.column("members")
     firsts, seconds = table.column("i").to_numpy(), table.column("j").to_numpy()
+    out: list[tuple[np.ndarray, ...]] = []
     for first, last in zip(bounds[:-1], bounds[1:]):
         rid, at = np.unique(rids[first:last], return_index=True)
         at = at + first
@@ -291,9 +292,11 @@ def _verify(table: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
         a = np.concatenate([rid[some], rid[roots]])
         b = np.concatenate([np.full(len(some), -1), rid[others]])
         counted = np.concatenate([links[some], np.full(len(roots), -1)])
-        whole = pa.array(np.full(len(a), wholes[first]))
+        out.append((a, b, counted, np.full(len(a), wholes[first])))
+    if out:
+        a, b, counted, whole = (np.concatenate(x) for x in zip(*out))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(a), pa.array(b, mask=b < 0), pa.array(counted, mask=counted < 0), whole],
+            [pa.array(a), pa.array(b, mask=b < 0), pa.array(counted, mask=counted < 0), pa.array(whole)],
             names=["a", "b", "links", "whole"],
         )
 

@@ -60,7 +60,7 @@ def test_hot_groups_equal_brute_force(spark, monkeypatch, small):
         monkeypatch.setattr(ngram_jaccard, "CHUNK", 32)
         monkeypatch.setattr(ngram_jaccard, "CHUNK_ROWS", 16)
         monkeypatch.setattr(ngram_jaccard, "BROADCAST_ROWS", 0)
-        monkeypatch.setattr(common, "HOT_KEYS", 40)
+        monkeypatch.setattr(common, "HOT_KEYS", 10)
     rows = templates()
     assert sorted(map(tuple, jaccard_join(frame(spark, rows)).collect()), key=str) == brute(rows)
 
@@ -74,7 +74,7 @@ def test_keep_one_keeps_a_document_of_each_class(spark):
 
 
 def test_components_of_hubs_and_chains(spark, monkeypatch):
-    monkeypatch.setattr(common, "HOT_KEYS", 50)
+    monkeypatch.setattr(common, "HOT_KEYS", 10)
     rng = random.Random(1)
     edges = [(500, k) for k in range(100)] + [(600, 600 + k) for k in range(1, 100)] + [(k, k + 1) for k in range(800, 900)]
     edges += [(1000 + rng.randrange(60), 1000 + rng.randrange(60)) for _ in range(40)]

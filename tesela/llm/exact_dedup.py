@@ -2,14 +2,16 @@
 
 A key log (digest, stable identifier, content locator; never the text) streams through a keyed aggregate whose
 state lives in RocksDB and in the query's checkpoint. For each digest the state retains the row that stays
-(largest doc_id, ties by the row's place in the log), its locator, and the number of rows seen. Nothing expires, so
-run_state over a grown log with the same folders meets every digest that was ever seen. exact_dedup itself starts from
-fresh folders and removes its state: it deduplicates one table, and no later run meets what it saw.
+(largest doc_id, ties by the locator), its locator, and the number of rows seen. A locator is a Parquet file and the
+index of a row in it: those of docs itself where docs is a plain scan of Parquet files, else those of a copy of its ids
+and texts that is written first. Nothing expires: with a state_dir, every call meets all that earlier calls with the
+same folder saw, and fetches their texts by the retained locators, so the files that were deduplicated must stay.
 
-Hits (digests with two rows or more) are then checked on full bytes, by an aggregate of extremes: the texts of a digest
-are all the same exactly if its least and its greatest are. For that docs is read again; the locator (a file's name and
-a number that holds within one run) is kept with the state, but nothing fetches content by it. Rows whose bytes differ under one digest are grouped anew by their
-whole text, so a digest collision costs time, not correctness. Only rows of hit digests are read again and shuffled.
+Hits (digests with two rows or more) are then checked on full bytes. The retained row's text is fetched by its locator
+and, if earlier calls had retained another, that one's too; they are compared with the texts of all rows of the hit at
+once, through their extremes: all are the same exactly if the least and the greatest are, so a large group of copies
+sends one row from each task. Rows whose bytes differ under one digest are grouped anew by their whole text, those of
+earlier calls included, and so are its rows in all later calls; a digest collision costs time, not correctness.
 
 Defined results: a null text counts as empty; empty texts are equal to each other. A null doc_id is smaller than
 any other. Of repeated rows (same doc_id and text) exactly one stays. An empty table gives no rows. Columns of the
@@ -18,36 +20,82 @@ input besides the id and the text are not looked at, so their names can't clash.
 
 from __future__ import annotations
 
+import uuid
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tesela.llm.common import materialize, remove, text_of, work_path
+from tesela.llm.common import exists, join_counted, materialize, remove, text_of, work_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 #: State stores are many and small next to RocksDB's preallocated files.
 PREALLOCATE = "spark.sql.streaming.stateStore.rocksdb.allowFAllocate"
-#: Digests of 32 bytes that are broadcast at most (about 20 MB); beyond it the join is by shuffle.
-BROADCAST_DIGESTS = 400_000
+#: Digests of 32 bytes, with or without a locator, that are broadcast at most (about 40 MB); else they meet by a shuffle.
+BROADCAST_DIGESTS = 200_000
 #: Key-log bytes that one micro-batch takes; bounds its memory, not the number of rows.
 BYTES_PER_TRIGGER = 1 << 36
 
+LOCATOR = ("file", "row")
+
 
 def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
-def key_log(docs: DataFrame, id_column: str, text_column: str, digest=sha256) -> DataFrame:
-    """(digest, doc_id, row, file): row numbers this log, file tells where the row was read."""
-    text = text_of(text_column)
+def _is_parquet_scan(docs: DataFrame) -> bool:
+    """Whether docs is nothing but the rows of Parquet files, so that their places are places of its rows."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRelation":
+        return False
+    relation = plan.relation()
+    return relation.getClass().getSimpleName() == "HadoopFsRelation" and "Parquet" in relation.fileFormat().toString()
+
+
+def located(docs: DataFrame, id_column: str, text_column: str, copy_path: str) -> DataFrame:
+    """(doc_id, text, file, row), with the text's place; copy_path takes a copy of what has none."""
+    if not _is_parquet_scan(docs):
+        rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+        docs, id_column, text_column = materialize(rows, copy_path), "doc_id", "text"
     return docs.select(
-        digest(text).alias("digest"),
         F.col(id_column).alias("doc_id"),
-        F.monotonically_increasing_id().alias("row"),
-        F.input_file_name().alias("file"),
+        text_of(text_column).alias("text"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.row_index").alias("row"),
+        F.lit(text_column).alias("text_column"),
     )
 
 
+def fetch(places: DataFrame) -> DataFrame:
+    """places (file, row, text_column and more) with the texts that lie there, in the column text.
+
+    Only the files that places name are read; their names come to the driver, as in any scan of them.
+    """
+    spark = places.sparkSession
+    named = places.select("file", "text_column").distinct().collect()
+    frames = []
+    for column in sorted({r.text_column for r in named}):
+        files = [unquote(r.file) for r in named if r.text_column == column]
+        kind = spark.read.parquet(files[0]).schema[column]
+        texts = spark.read.schema(T.StructType([kind])).parquet(*files)
+        texts = texts.select(
+            text_of(column).alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")
+        )
+        mine = places.where(F.col("text_column") == column)
+        frames.append(texts.join(_small(mine), [*LOCATOR]))
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame)
+    return out
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """rows, marked for a broadcast if their counted number allows it."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_DIGESTS else rows
+
+
 def run_state(spark: SparkSession, log_path: str, schema, state_path: str, out_path: str) -> None:
     """Stream the key log through the keyed state; each micro-batch writes the digests that it changed.
 
@@ -59,7 +107,7 @@ def run_state(spark: SparkSession, log_path: str, schema, state_path: str, out_p
     spark.conf.set(PREALLOCATE, "false")
     try:
         log = spark.readStream.schema(schema).option("maxBytesPerTrigger", BYTES_PER_TRIGGER).parquet(log_path)
-        best = F.max(F.struct("doc_id", "row", "file"))
+        best = F.max(F.struct("doc_id", *LOCATOR, "text_column"))
         state = log.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
 
         def keep_changes(changed: DataFrame, batch: int) -> None:
@@ -78,102 +126,119 @@ def run_state(spark: SparkSession, log_path: str, schema, state_path: str, out_p
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
-def latest_state(spark: SparkSession, out_path: str, schema) -> DataFrame:
-    """(digest, keep_id, keep_row, group_size) after all micro-batches."""
-    changes = spark.read.schema(schema).parquet(out_path)
+def read_changes(spark: SparkSession, out_path: str, log_schema: T.StructType) -> DataFrame:
+    """What the micro-batches wrote: (digest, best, group_size, batch)."""
+    kinds = {f.name: f.dataType.simpleString() for f in log_schema.fields}
+    best = ",".join(f"{n}:{kinds[n]}" for n in ("doc_id", *LOCATOR, "text_column"))
+    return spark.read.schema(f"digest {kinds['digest']}, best struct<{best}>, group_size bigint, batch int").parquet(out_path)
+
+
+def latest_state(changes: DataFrame) -> DataFrame:
+    """(digest, keep_id, keep_file, keep_row, text_column, group_size) after the micro-batches of changes."""
     last = changes.groupBy("digest").agg(F.max_by(F.struct("best", "group_size"), "batch").alias("s"))
     return last.select(
         "digest",
         F.col("s.best.doc_id").alias("keep_id"),
+        F.col("s.best.file").alias("keep_file"),
         F.col("s.best.row").alias("keep_row"),
+        F.col("s.best.text_column").alias("text_column"),
         F.col("s.group_size").alias("group_size"),
     )
 
 
 def exact_dedup(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", digest=sha256, verify: bool = True
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    digest=sha256,
+    verify: bool = True,
+    state_dir: str | None = None,
 ) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, digest.
 
-    digest maps a text column to a binary or string column; verify compares full bytes on every hit.
+    digest maps a text column to a binary or string column; verify compares full bytes on every hit. state_dir: a shared
+    folder that keeps the state for later calls; the results tell what stays of this call's rows after all that was
+    seen, and rows that an earlier call kept may have gone since. Without it the state is removed.
     """
     spark = docs.sparkSession
-    log_path, state_path, out_path = (work_path(spark, f"dedup-{n}") for n in ("log", "state", "changes"))
-    log = materialize(key_log(docs, id_column, text_column, digest), log_path)
+    base = (state_dir or work_path(spark, "dedup")).rstrip("/")
+    run = uuid.uuid4().hex
+    rows = located(docs, id_column, text_column, f"{base}/contents/{run}")
+    columns = ("digest", "doc_id", *LOCATOR, "text_column")
+    log = materialize(rows.withColumn("digest", digest(F.col("text"))).select(*columns), f"{base}/log/{run}")
     if log.isEmpty():
         empty = log.withColumn("keep_id", F.col("doc_id")).withColumn("group_size", F.lit(1).cast("long"))
         return empty.withColumn("kept", F.lit(True)).select("doc_id", "keep_id", "group_size", "kept", "digest")
-    run_state(spark, log_path, log.schema, state_path, out_path)
-    id_type = log.schema["doc_id"].dataType.simpleString()
-    digest_type = log.schema["digest"].dataType.simpleString()
-    changed = (
-        f"digest {digest_type}, best struct<doc_id:{id_type},row:bigint,file:string>, group_size bigint, batch int"
-    )
-    state = latest_state(spark, out_path, changed)
-    joined = log.join(state, "digest")
-    out = joined.select(
-        "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "digest"
-    )
-    remove(spark, state_path)
-    if not verify:
-        return out
-    mixed = _digests_with_mixed_bytes(docs, state, text_column, digest)
-    mixed = materialize(mixed, work_path(spark, "dedup-mixed"))
-    if mixed.isEmpty():
-        return out
-    return _split_collisions(docs, out, mixed, id_column, text_column, digest)
-
-
-def _digests_with_mixed_bytes(docs, state, text_column, digest) -> DataFrame:
-    """Hit digests whose rows don't all hold the same bytes.
-
-    The least and the greatest text of a digest are equal only if all are. Both are found before the shuffle, so a
-    large group of copies sends one row from each task. Rows without a hit are left out before the shuffle too,
-    as long as the hit digests are few enough to broadcast.
+    first_batch = 0
+    if exists(spark, f"{base}/changes"):
+        first_batch = 1 + (read_changes(spark, f"{base}/changes", log.schema).agg(F.max("batch")).first()[0] or 0)
+    run_state(spark, f"{base}/log/*", log.schema, f"{base}/state", f"{base}/changes")
+    changes = read_changes(spark, f"{base}/changes", log.schema)
+    state = latest_state(changes.where(F.col("batch") >= first_batch))  # of this call's digests
+    if not state_dir:
+        remove(spark, f"{base}/state")
+    seen = state.agg(F.sum("group_size")).first()[0]
+    kept = (F.col("file") == F.col("keep_file")) & (F.col("row") == F.col("keep_row"))
+    out = join_counted(log.drop("text_column"), state.drop("text_column"), "digest", "group_size", seen)
+    out = out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "digest", *LOCATOR)
+    if verify:
+        earlier = latest_state(changes.where(F.col("batch") < first_batch)) if first_batch else None
+        mixed = _digests_with_mixed_bytes(rows, state, earlier, digest)
+        if exists(spark, f"{base}/mixed"):
+            known = spark.read.schema(mixed.schema).parquet(f"{base}/mixed/*")
+            mixed = mixed.unionByName(log.join(_small(known), "digest", "left_semi").select("digest")).distinct()
+        mixed = materialize(mixed, f"{base}/mixed/{run}")
+        if not mixed.isEmpty():
+            every = spark.read.schema(log.schema).parquet(f"{base}/log/*")
+            out = _split_collisions(out, every.join(_small(mixed), "digest", "left_semi"), mixed)
+    return out.drop(*LOCATOR)
+
+
+def _digests_with_mixed_bytes(rows: DataFrame, state: DataFrame, earlier: DataFrame | None, digest) -> DataFrame:
+    """Hit digests of the rows for which some row's bytes aren't those that the retained locators lead to.
+
+    Rows without a hit are left out before the shuffle, as long as the hit digests are few enough to broadcast.
     """
-    hits = state.where("group_size > 1").select("digest")
-    text = text_of(text_column)
-    rows = docs.select(text.alias("text"), digest(text).alias("digest"))
-    if hits.count() <= BROADCAST_DIGESTS:
-        hits = F.broadcast(hits)
-    spread = rows.join(hits, "digest", "left_semi").groupBy("digest").agg(
-        F.min("text").alias("least"), F.max("text").alias("greatest")
-    )
+    hits = state.where("group_size > 1")
+    if hits.isEmpty():
+        return hits.select("digest")
+    mine = rows.select(digest(F.col("text")).alias("digest"), "text")
+    mine = mine.join(_small(hits.select("digest")), "digest", "left_semi")
+    place = ("digest", F.col("keep_file").alias("file"), F.col("keep_row").alias("row"), "text_column")
+    places = hits.select(*place)
+    if earlier is not None:
+        new = hits.select("digest", F.col("keep_file").alias("new_file"), F.col("keep_row").alias("new_row"))
+        other = (F.col("keep_file") != F.col("new_file")) | (F.col("keep_row") != F.col("new_row"))
+        places = places.unionByName(earlier.join(new, "digest").where(other).select(*place))
+    both = mine.unionByName(fetch(places).select("digest", "text"))
+    spread = both.groupBy("digest").agg(F.min("text").alias("least"), F.max("text").alias("greatest"))
     return spread.where("least != greatest").select("digest")
 
 
-def _split_collisions(docs, out, mixed, id_column, text_column, digest) -> DataFrame:
-    """Rows of the mixed digests grouped by whole text, all other rows as they were."""
-    text = text_of(text_column)
-    rows = docs.select(
-        F.col(id_column).alias("doc_id"),
-        text.alias("text"),
-        digest(text).alias("digest"),
-        F.monotonically_increasing_id().alias("row"),
-    ).join(F.broadcast(mixed) if mixed.count() <= BROADCAST_DIGESTS else mixed, "digest", "left_semi")
-    rows = materialize(rows, work_path(docs.sparkSession, "dedup-collided"))
-    groups = rows.groupBy("digest", "text").agg(
-        F.max(F.struct("doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("group_size")
-    )
-    split = rows.join(groups, ["digest", "text"]).select(
-        "doc_id",
-        F.col("best.doc_id").alias("keep_id"),
-        "group_size",
-        (F.col("row") == F.col("best.row")).alias("kept"),
-        "digest",
+def _split_collisions(out: DataFrame, log: DataFrame, mixed: DataFrame) -> DataFrame:
+    """out with the rows of mixed digests grouped by whole text; log has all rows of those, of earlier calls too."""
+    rows = fetch(log).withColumn("place", F.struct("doc_id", *LOCATOR))
+    groups = rows.groupBy("digest", "text").agg(F.max("place").alias("best"), F.count(F.lit(1)).alias("size"))
+    split = rows.join(groups, ["digest", "text"]).select(*LOCATOR, "best", "size")
+    plain = out.join(mixed, "digest", "left_anti")
+    again = out.join(mixed, "digest", "left_semi").join(split, [*LOCATOR])
+    kept = (F.col("file") == F.col("best.file")) & (F.col("row") == F.col("best.row"))
+    again = again.select(
+        "doc_id", F.col("best.doc_id").alias("keep_id"), F.col("size").alias("group_size"), kept.alias("kept"), "digest", *LOCATOR
     )
-    return out.join(mixed, "digest", "left_anti").select(split.columns).unionByName(split)
+    return plain.select(again.columns).unionByName(again)
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns: one for each text.
 
     A kept row is found again by digest and id; only repeated rows (same id and text) need another step, which
-    keeps one of them.
+    keeps one of them. Columns of any name come back as they were.
     """
+    mark, id_mark = f"__{uuid.uuid4().hex}", f"__{uuid.uuid4().hex}"
     decided = exact_dedup(docs, id_column, text_column).where("kept")
-    kept = decided.select(F.col("digest").alias("__digest"), F.col("doc_id").alias("__id")).distinct()
-    rows = docs.withColumn("__digest", sha256(text_of(text_column)))
-    mine = (rows["__digest"] == kept["__digest"]) & rows[id_column].eqNullSafe(kept["__id"])
+    kept = decided.select(F.col("digest").alias(mark), F.col("doc_id").alias(id_mark)).distinct()
+    rows = docs.withColumn(mark, sha256(text_of(text_column)))
+    mine = (rows[mark] == kept[mark]) & rows[id_column].eqNullSafe(kept[id_mark])
     stay = rows.join(kept, mine, "left_semi")
-    return stay.dropDuplicates(["__digest", id_column]).drop("__digest")
+    return stay.dropDuplicates([mark, id_column]).drop(mark)

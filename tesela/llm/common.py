@@ -76,15 +76,19 @@ def remove(spark: SparkSession, *paths: str) -> None:
 HOT_KEYS = 1000
 
 
-def join_counted(left: DataFrame, right: DataFrame, key: str, count: str, total: int) -> DataFrame:
+def join_counted(
+    left: DataFrame, right: DataFrame, key: str | list[str], count: str, total: int, strategy: str | None = None
+) -> DataFrame:
     """left joined with right, which has one row for each key and, in count, the number of left's rows with it.
 
-    total: left's rows. Keys with more than a HOT_KEYS-th of them number less than HOT_KEYS, whatever the input, so
-    their rows of right are broadcast, and their rows of left stay where they are; all others meet by a shuffle.
+    total: left's rows, or more. Keys with more than a HOT_KEYS-th of them number less than HOT_KEYS, whatever the input, so
+    their rows of right (which must be small) are broadcast, and their rows of left stay where they are; all others meet
+    by a shuffle, with the strategy that is named.
     """
     bound = max(1, total // HOT_KEYS)
     hot = right.where(F.col(count) > bound)
-    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(F.col(count) <= bound), key)
+    others = right.where(F.col(count) <= bound)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(others.hint(strategy) if strategy else others, key)
     return left.join(F.broadcast(hot), key).unionByName(rest)
 
 

@@ -12,8 +12,9 @@ units inside it cover all its lines. A wider window would choose among the units
 lead to places that share less.
 
 Each unit's first place in the corpus is found with a partial aggregate, and every later place is joined to that; so a
-unit that a third of all documents hold makes one row for each of its places, never a row for a pair of them. Units
-are compared by the hashes of all their lines.
+unit that a third of all documents hold makes one row for each of its places, never a row for a pair of them, and those
+rows stay where they are while the unit's first place is sent to them. Units are compared by the 64-bit hashes of all
+their lines; those of one or two lines by another 64-bit hash as well, so at least by 128 bits.
 
 Defined results: null and empty texts have no lines to compare. Rows with the same id and the same text are one
 document and get the same result; a null id comes first. What an earlier document keeps is never removed from all
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesela.llm.common import materialize, text_of, work_path
+from tesela.llm.common import join_counted, materialize, text_of, work_path
 
 MIN_LINES = 3
 MIN_WORDS = 50
@@ -37,7 +38,7 @@ def trimmed(line: Column) -> Column:
 
 
 def line_table(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """One row for each document: key (id, hash of the text), hashes, word counts and numbers of its lines."""
+    """One row for each document: key (id, hash of the text), two hashes, word counts and numbers of its lines."""
     text = text_of(text_column)
     rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("at"), trimmed(x).alias("line")))
@@ -45,13 +46,14 @@ def line_table(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return rows.select(
         F.struct("id", "text_hash").alias("key"),
         F.transform("lines", lambda x: F.xxhash64(x["line"])).alias("hashes"),
+        F.transform("lines", lambda x: F.xxhash64(F.lit("second"), x["line"])).alias("seconds"),
         F.transform("lines", lambda x: F.size(F.split(x["line"], f"[{WHITE_SPACE}]+"))).alias("words"),
         F.transform("lines", lambda x: x["at"]).alias("numbers"),
     )
 
 
 def fingerprints(lines: DataFrame) -> DataFrame:
-    """(hash0, hash1, .., key, at): each unit's line hashes, 0 after its last, and the numbers of its lines."""
+    """(hash0, hash1, .., key, at): each unit's line hashes, then second hashes, and the numbers of its lines."""
     n = F.size("hashes")
 
     def enough(i, size):
@@ -67,7 +69,10 @@ def fingerprints(lines: DataFrame) -> DataFrame:
         if size > 1:
             # Units of one line fewer on both sides, or what covers them, cover all lines.
             whole = whole & ~(enough(i, size - 1) & enough(i + 1, size - 1))
-        hashes = [F.get("hashes", i + k) if k < size else F.lit(0).cast("bigint") for k in range(MIN_LINES)]
+        hashes = [F.get("hashes", i + k) for k in range(size)]
+        if size < MIN_LINES:
+            hashes.append(F.xxhash64(*(F.get("seconds", i + k) for k in range(size))))
+        hashes += [F.lit(0).cast("bigint")] * (MIN_LINES - len(hashes))
         named = [h.alias(f"hash{k}") for k, h in enumerate(hashes)]
         return F.when((i + size <= n) & whole, F.struct(*named, F.slice("numbers", i + 1, size).alias("at")))
 
@@ -76,17 +81,22 @@ def fingerprints(lines: DataFrame) -> DataFrame:
     return lines.select("key", F.explode(units).alias("u")).select("u.*", "key")
 
 
-def repeated_lines(lines: DataFrame) -> DataFrame:
-    """(key, removed): numbers of the lines to remove, some more than once, for documents that have some."""
+def repeated_lines(lines: DataFrame, path: str) -> DataFrame:
+    """(key, removed): numbers of the lines to remove, some more than once, for documents that have some.
+
+    path: for the first places of the units that occur again.
+    """
     prints = fingerprints(lines).withColumn("place", F.struct("key", F.get("at", F.lit(0)).alias("line")))
     unit = [f"hash{k}" for k in range(MIN_LINES)]
     first = (
         prints.groupBy(*unit)
         .agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
-        .select(*unit, "first")
+        .select(*unit, "first", "n")
     )
-    later = prints.join(first.hint("merge"), unit).where(F.col("place") != F.col("first"))
+    first = materialize(first, path)
+    repeated = first.agg(F.sum("n")).first()[0] or 0
+    later = join_counted(prints, first, unit, "n", repeated, "merge").where(F.col("place") != F.col("first"))
     return later.groupBy("key").agg(F.flatten(F.collect_list("at")).alias("removed"))
 
 
@@ -96,7 +106,7 @@ def line_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     # One row a document, by key: equal rows would meet each other on every alignment.
     lines = line_table(docs, id_column, text_column).dropDuplicates(["key"])
     lines = materialize(lines, work_path(spark, "lines"))
-    removed = repeated_lines(lines).select(
+    removed = repeated_lines(lines, work_path(spark, "first-places")).select(
         F.col("key.id").alias("id"), F.col("key.text_hash").alias("text_hash"), "removed"
     )
     text = text_of(text_column)

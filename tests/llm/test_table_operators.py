@@ -142,53 +142,6 @@ def test_line_dedup_of_other_white_space(spark):
     assert got[1:] == [(2, 4, 3, "\r\n\t\r\nown\r\n"), (3, 2, 0, rows[2][1]), (4, 2, 1, "y"), (5, 0, 0, rows[4][1])]
 
 
-def test_warc_round_trip(spark, tmp_path):
-    record = warc.write_record
-    parts = [
-        record("response", "http://www.A.org:80/p/?b=2&a=1&utm_x=3#top", "2024-01-01T00:00:00Z", 200, {"ETag": '"1"', "X": "old", "Content-Type": "text/html"}, b"one", "r1"),
-        record("revisit", "https://a.org/p?a=1&b=2", "2024-01-05T00:00:00Z", 304, {"etag": 'W/"1"', "X": "new", "Content-Type": "text/plain"}, record_id="v1"),
-        record("response", "http://a.org/p?a=1&b=2", "2024-01-06T00:00:00Z", 200, {"ETag": '"2"'}, b"two", "r2"),
-        record("revisit", "http://a.org/p?a=1&b=2", "2024-01-06T00:00:01Z", 304, {"ETag": '"1"'}, record_id="v2"),
-        record("revisit", "http://a.org/p?a=1&b=2", "2023-01-01T00:00:00Z", 304, {}, record_id="v3"),
-        record("revisit", "http://a.org/p?a=1&b=2", "2024-01-06T00:00:00Z", 304, {}, record_id="v4"),
-    ]
-    (tmp_path / "a.warc.gz").write_bytes(b"".join(parts) + parts[0][:40])
-    records = warc.read_warc(spark, str(tmp_path / "a.warc.gz"))
-    out = {r.record_id: r for r in warc.with_bodies(warc.resolve_revisits(records), records).collect()}
-    told = {k: (r.outcome, r.refers_to, r.body and bytes(r.body)) for k, r in out.items()}
-    assert told == {
-        "v1": ("resolved", "r1", b"one"), "v2": ("etag-mismatch", "r2", None), "v3": ("no-response", None, None),
-        "v4": ("resolved", "r1", b"one"),
-    }
-    assert out["v1"].headers == {"etag": 'W/"1"', "x": "new", "content-type": "text/html"}
-
-
-def test_warc_full_responses_and_profiles(spark):
-    digest = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-    stored = [("page", 200), ("part", 206), ("same", 304), ("gone", 404), ("busy", 503), ("none", None)]
-    rows = [(name, "response", "http://a.org/", 10 * k, None, status, {}, name) for k, (name, status) in enumerate(stored)]
-    rows += [
-        ("v1", "revisit", "http://a.org/", 99, None, 304, {}, None),
-        ("v2", "revisit", "http://a.org/", 99, warc.PROFILE, 304, {}, None),
-        ("v3", "revisit", "http://a.org/", 99, warc.PROFILE.replace("1.1", "1.0"), None, {}, None),
-        ("v4", "revisit", "http://a.org/", 99, digest, 200, {"X": "own"}, None),
-        ("v5", "revisit", "http://a.org/", 99, None, 200, {}, None),
-        ("v6", "revisit", "http://a.org/", 99, digest, 304, {}, None),
-        ("late", "revisit", "http://a.org/", 200_099, " ", 304, {}, None),
-        ("lone", "response", "http://b.org/", 1, None, 404, {}, "lone"),
-        ("v7", "revisit", "http://b.org/", 2, None, 304, {}, None),
-    ]
-    schema = "record_id string, type string, url string, at long, profile string, status int, headers map<string,string>, body string"
-    records = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds("at"))
-    out = {r.record_id: r for r in warc.with_bodies(warc.resolve_revisits(records), records).collect()}
-    page, other = ("resolved", "page", 200, "page"), ("other-profile", None, None, None)
-    assert {k: (r.outcome, r.refers_to, r.status, r.body) for k, r in out.items()} == {
-        "v1": page, "v2": page, "v3": page, "v4": other, "v5": other, "v6": other, "late": page,
-        "v7": ("no-response", None, None, None),
-    }
-    assert out["v4"].headers == {"x": "own"}
-
-
 def test_empty_tables(spark):
     docs, labels = frame(spark, []), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     items = spark.createDataFrame([], "item_id long, text string")

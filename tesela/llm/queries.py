@@ -152,7 +152,111 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc_revisits": op10_warc_revisits,
 }
 
+#: Lower-cases A to Z and nothing else.
+_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE_SQL: dict[str, str] = {
+    # Every pair that shares a shingle, counted exactly.
+    "op1_ngram_jaccard": rf"""
+        WITH RECURSIVE worded AS (
+            SELECT doc_id, regexp_extract_all({_FOLDED}, '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), shingled AS (
+            SELECT doc_id, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+            FROM worded
+        ), keyed AS (
+            SELECT doc_id, s, md5(array_to_string(list_sort(s), '|')) AS k FROM shingled
+        ), sets AS (
+            SELECT k, min(doc_id) AS rep, count(*) AS n_docs, any_value(s) AS s FROM keyed GROUP BY k
+        ), members AS (
+            SELECT rep, len(s) AS n, unnest(s) AS x FROM sets
+        ), pairs AS (
+            SELECT a.rep AS a, b.rep AS b FROM members a JOIN members b ON a.x = b.x AND a.rep < b.rep
+            GROUP BY a.rep, b.rep, a.n, b.n HAVING 5 * count(*) >= 4 * (a.n + b.n - count(*))
+        ), links AS (
+            SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs
+        ), reach AS (
+            SELECT rep AS a, rep AS b FROM sets UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+        ), classes AS (
+            SELECT a, min(b) AS class_id FROM reach GROUP BY a
+        ), others AS (
+            SELECT l.a, sum(s.n_docs) AS n FROM links l JOIN sets s ON l.b = s.rep GROUP BY l.a
+        )
+        SELECT d.doc_id, c.class_id, CAST(s.n_docs - 1 + coalesce(o.n, 0) AS BIGINT) AS n_links,
+               CAST(s.n_docs AS BIGINT) AS n_same
+        FROM keyed d JOIN sets s ON d.k = s.k JOIN classes c ON s.rep = c.a LEFT JOIN others o ON s.rep = o.a
+    """,
+    # Every window of every length that items have, met by its whole text.
+    "op6_decontamination": rf"""
+        WITH worded AS (
+            SELECT doc_id, regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+        ), items AS (
+            SELECT DISTINCT CAST(item_id AS VARCHAR) AS item,
+                   regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+        ), item_starts AS (
+            SELECT item, w, least(13, len(w)) AS m, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i
+            FROM items WHERE len(w) > 0
+        ), windows AS (
+            SELECT DISTINCT m, array_to_string(w[i:i + m - 1], ' ') AS x, item FROM item_starts
+        ), lengths AS (
+            SELECT DISTINCT m FROM windows
+        ), starts AS (
+            SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM worded JOIN lengths ON len(w) >= m
+        ), places AS (
+            SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS x FROM starts
+        ), hits AS (
+            SELECT p.doc_id, p.i, p.m, v.item FROM places p JOIN windows v ON p.m = v.m AND p.x = v.x
+        ), hit_words AS (
+            SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(i, i + m)) AS pos FROM hits) GROUP BY doc_id
+        ), hit_items AS (
+            SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS listed
+            FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id
+        )
+        SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit,
+               CAST(coalesce(t.n, 0) AS BIGINT) AS n_items, sha256(coalesce(t.listed, '')) AS items_sha256,
+               coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(d.w) AS contaminated
+        FROM worded d LEFT JOIN hit_words h ON d.doc_id = h.doc_id LEFT JOIN hit_items t ON d.doc_id = t.doc_id
+    """,
+    # Every unit of up to three lines that is a run by itself, met by its whole text.
+    "op8_line_dedup": r"""
+        WITH cut AS (
+            SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS raw FROM documents
+        ), lines AS (
+            SELECT doc_id, unnest(raw) AS raw, unnest(range(0, len(raw))) AS pos FROM cut
+        ), filled AS (
+            SELECT doc_id, pos, trim(raw, E' \t\n\x0B\f\r') AS line FROM lines
+        ), numbered AS (
+            SELECT doc_id, pos, line, len(regexp_split_to_array(line, '[ \t\n\x0B\f\r]+')) AS n,
+                   row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k
+            FROM filled WHERE line <> ''
+        ), runs AS (
+            SELECT doc_id, k, n, n + lead(n, 1) OVER d AS n2, lead(line, 2) OVER d IS NOT NULL AS three, line AS x,
+                   line || chr(10) || lead(line, 1) OVER d AS x2,
+                   line || chr(10) || lead(line, 1) OVER d || chr(10) || lead(line, 2) OVER d AS x3
+            FROM numbered WINDOW d AS (PARTITION BY doc_id ORDER BY k)
+        ), units AS (
+            SELECT doc_id, k, 1 AS size, x FROM runs WHERE n >= 50
+            UNION ALL SELECT doc_id, k, 2, x2 FROM runs WHERE n2 >= 50
+            UNION ALL SELECT doc_id, k, 3, x3 FROM runs WHERE three
+        ), later AS (
+            SELECT doc_id, k, size, row_number() OVER (PARTITION BY size, x ORDER BY doc_id, k) AS place FROM units
+        ), removed AS (
+            SELECT DISTINCT doc_id, k FROM (SELECT doc_id, unnest(range(k, k + size)) AS k FROM later WHERE place > 1)
+        ), gone AS (
+            SELECT n.doc_id, n.pos FROM removed r JOIN numbered n ON r.doc_id = n.doc_id AND r.k = n.k
+        ), kept AS (
+            SELECT l.doc_id, string_agg(l.raw, chr(10) ORDER BY l.pos) AS text
+            FROM lines l ANTI JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id
+        ), counts AS (
+            SELECT doc_id, count(*) AS n FROM numbered GROUP BY doc_id
+        ), gone_counts AS (
+            SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id
+        )
+        SELECT d.doc_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(g.n, 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(k.text, '')) AS text_sha256
+        FROM cut d LEFT JOIN counts c ON d.doc_id = c.doc_id LEFT JOIN gone_counts g ON d.doc_id = g.doc_id
+        LEFT JOIN kept k ON d.doc_id = k.doc_id
+    """,
     "op2_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,

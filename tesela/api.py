@@ -106,29 +106,36 @@ class Mobility:
                 self.rejected.append((path, str(e)))
         return found
 
-    def _table(self, kind: str, transform: Callable[[DataFrame], DataFrame], return_df: bool) -> DataFrame | None:
+    def _table(self, kind: str, transform: Callable, return_df: bool) -> DataFrame | None:
+        """The table of all days' files, which are read twice: once for facts of files, once for the rows.
+
+        Files without rows, or with none left, are rejected; without any other nothing is written.
+        """
         dataset = vocab.DATASET_NAMES[self.version][kind]
-        got = files.scan(self.spark, self._files(dataset), flows.required_columns(kind, self.version))
+        facts = lambda raw: flows.file_facts(raw, kind, self.version)
+        got = files.scan(self.spark, self._files(dataset), flows.required_columns(kind, self.version), facts=facts)
         self.rejected += got.rejected
         if got.frame is None:
             return None
         name = sinks.table_name(dataset, self.zones, self.start_date, self.end_date, self.version)
-        path = sinks.save_table(transform(got.frame), os.path.join(self.output_path, name))
+        path = sinks.save_table(transform(got.frame, got.facts), os.path.join(self.output_path, name))
         return self.spark.read.parquet(path) if return_df else None
 
     def get_od_data(self, keep_activity=False, return_df=False, social_agg=False) -> DataFrame | None:
         """Origin-destination flows; saved, and returned if return_df. None where no file is valid."""
         return self._table(
-            "od", lambda raw: flows.od(raw, keep_activity, social_agg, self.version, hour_mode="auto"), return_df
+            "od",
+            lambda raw, facts: flows.od(raw, keep_activity, social_agg, self.version, hour_mode="auto", facts=facts),
+            return_df,
         )
 
     def get_overnight_stays_data(self, return_df=False) -> DataFrame | None:
         if self.version == 1:
             raise Exception("overnight stays are not part of generation 1")
-        return self._table("overnight", flows.overnight, return_df)
+        return self._table("overnight", lambda raw, facts: flows.overnight(raw, facts=facts), return_df)
 
     def get_number_of_trips_data(self, return_df=False) -> DataFrame | None:
-        return self._table("trips", lambda raw: flows.trips(raw, self.version), return_df)
+        return self._table("trips", lambda raw, facts: flows.trips(raw, self.version, facts=facts), return_df)
 
 
 _output = output_directory

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tesela.functions.vocab import RAW_NULLS, TRIMMED_NULLS
@@ -11,9 +11,9 @@ BOM = "﻿"
 #: Decimal numbers and infinities as both Spark and SQL engines read them; try_cast alone takes more.
 NUMBER = r"(?:[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|[+-]?[iI][nN][fF](?:[iI][nN][iI][tT][yY])?)"
 NOT_NUMBER = rf"(?s)^(?!{NUMBER}$).*$"
-#: A point between groups of thousands, in a text that is made of such groups; of at most 12.
-THOUSANDS_POINT = r"(?<=^[+-]?\d{1,3}(?:\.\d{3}){0,12})\.(?=\d{3}(?:\.\d{3}){0,12}$)"
-NEVER = "(?!)"
+IS_NUMBER = f"^{NUMBER}$"
+#: A text that is made of groups of thousands; of at most 13 after the first.
+GROUPED = r"^[+-]?\d{1,3}(\.\d{3}){1,13}$"
 GROUPED_TWICE = r"^[+-]?\d{1,3}(\.\d{3}){2,}$"
 
 
@@ -21,10 +21,6 @@ def column_name(name: str) -> str:
     return name.replace(BOM, "").strip().lower()
 
 
-def normal_headers(df: DataFrame) -> DataFrame:
-    return df.toDF(*(column_name(c) for c in df.columns))
-
-
 #: All characters that count as white space at the ends of a field.
 BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
@@ -34,8 +30,10 @@ def trim_all(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANKS))
 
 
-# Filters are pushed below projections, which puts a column's whole expression in place of each of its mentions. So
-# the expressions here mention their argument once; the one-element array stands for a local variable.
+# Catalyst puts a projection's expressions in place of their names wherever that is cheap, and always in filters. So the
+# functions of a whole field mention their argument once (the one-element array stands for a local variable), which
+# keeps them out of generated code; those of steps (below) mention it as often as they like, take a plain column and
+# are projected one after another, each by generated code.
 def only_if(c: Column, keep) -> Column:
     """c where keep(c), else null."""
     return F.get(F.filter(F.array(c), keep), F.lit(0))
@@ -51,11 +49,53 @@ def clean(c: Column) -> Column:
     return only_if(trim_all(c.cast("string")), lambda v: ~v.isin(*TRIMMED_NULLS))
 
 
+def is_number(c: Column) -> Column:
+    """Whether a raw field is a number, with points as decimal points."""
+    return F.coalesce(F.translate(trim_all(c), ",", ".").rlike(IS_NUMBER), F.lit(False))
+
+
+def is_known(c: Column) -> Column:
+    """Whether a raw field, trimmed, is no token of no value."""
+    return F.coalesce(~c.isin(*RAW_NULLS) & ~trim_all(c).isin(*TRIMMED_NULLS), F.lit(False))
+
+
+# Steps, on plain columns of text.
+def known(c: Column, tokens: tuple[str, ...] = TRIMMED_NULLS) -> Column:
+    """c, or null where it is a token of no value."""
+    return F.when(~c.isin(*tokens), c)
+
+
+def zeros_step(c: Column) -> Column:
+    return F.when(c.contains("."), without_zeros(c)).otherwise(c)
+
+
+def zone_step(c: Column) -> Column:
+    return F.when(c.contains("."), zone_text(c)).otherwise(c)
+
+
+def digits_step(c: Column) -> Column:
+    """The eight digits of a date whose trailing zeros are gone."""
+    return F.lpad(F.translate(c, "-/ ", ""), 8, "0")
+
+
+def dashes_step(digits: Column) -> Column:
+    year, month, day = (F.substring(digits, at, n) for at, n in ((1, 4), (5, 2), (7, 2)))
+    return F.concat(year, F.lit("-"), month, F.lit("-"), day)
+
+
+def ungrouped_step(c: Column, grouped: Column) -> Column:
+    """Without the points between thousands, where the file has them."""
+    return F.when(grouped & c.rlike(GROUPED), F.translate(c, ".", "")).otherwise(c)
+
+
+def number_step(c: Column) -> Column:
+    return F.when(c.rlike(IS_NUMBER), c.try_cast("double"))
+
+
 def without_zeros(c: Column) -> Column:
     return F.regexp_replace(c, r"\.0+$", "")
 
 
-# The *_text functions take text that clean() has gone over; projecting that first keeps generated code small.
 def zone_text(text: Column) -> Column:
     return F.regexp_replace(without_zeros(text), r"(?<=\d)\.(?=\d)", "")
 
@@ -65,14 +105,9 @@ def zone_id(c: Column) -> Column:
     return zone_text(clean(c))
 
 
-def date_text(text: Column) -> Column:
-    digits = F.lpad(F.regexp_replace(without_zeros(text), "[-/ ]", ""), 8, "0")
-    return F.regexp_replace(digits, "(?s)^(.{4})(.{2})(.{2})$", "$1-$2-$3")
-
-
 def iso_date(c: Column) -> Column:
     """YYYY-MM-DD by position from eight digits in any of the source's spellings; not checked against a calendar."""
-    return date_text(clean(c))
+    return F.regexp_replace(digits_step(without_zeros(clean(c))), "(?s)^(.{4})(.{2})(.{2})$", "$1-$2-$3")
 
 
 def point_decimal(c: Column) -> Column:
@@ -81,18 +116,17 @@ def point_decimal(c: Column) -> Column:
 
 def has_thousands(c: Column) -> Column:
     """Whether a field shows at least two groups of thousands; one such field decides for its column and file."""
-    return F.coalesce(point_decimal(c).rlike(GROUPED_TWICE), F.lit(False))
+    return F.coalesce(F.translate(trim_all(c), ",", ".").rlike(GROUPED_TWICE), F.lit(False))
 
 
-def number_text(text: Column, grouped: Column | None = None) -> Column:
-    if grouped is not None:
-        text = F.regexp_replace(text, F.when(grouped, THOUSANDS_POINT).otherwise(NEVER), F.lit(""))
+def number_text(text: Column) -> Column:
     return F.regexp_replace(text, NOT_NUMBER, "x").try_cast("double")
 
 
 def number(c: Column, grouped: Column | None = None) -> Column:
     """A double, null where the text isn't a number. grouped: whether points part thousands in this file."""
-    return number_text(point_decimal(c), grouped)
+    text = point_decimal(c)
+    return number_text(text if grouped is None else ungrouped_step(text, grouped))
 
 
 def grouped_integer(c: Column) -> Column:

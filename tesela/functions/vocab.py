@@ -34,7 +34,6 @@ RAW_NULLS = (
     "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 TRIMMED_NULLS = ("", "NA", "nan", "None")
-BASE_URL = "https://movilidad-opendata.mitma.es"
 
 _CANONICAL = {alias: zone for zone, aliases in ZONE_ALIASES.items() for alias in aliases}
 _DATASETS = {alias: kind for kind, aliases in DATASET_ALIASES.items() for alias in aliases}

@@ -47,11 +47,14 @@ TRIPS_MORE = ", event_type AS edad, CASE WHEN event_id % 2 = 0 THEN 'hombre' WHE
 
 
 def raw(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """sql over the tables of sf_dir; views have names of their own, so the session's are left alone."""
+    """sql over the tables of sf_dir; views have names of their own, so the session's are left alone.
+
+    Small tables come in few partitions, as many files don't; the rows are dealt out to all cores.
+    """
     import re
 
     for name in TABLES:
         if re.search(rf"\b{name}\b", sql):
             spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(f"__tesela_{name}")
             sql = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 __tesela_{name}", sql)
-    return spark.sql(sql)
+    return spark.sql(sql).repartition(spark.sparkContext.defaultParallelism)

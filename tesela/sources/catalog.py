@@ -26,8 +26,14 @@ RELATION_FILES = (
 ITEMS = "title string, link string, pub_date string"
 
 
+#: Some servers turn away clients that don't name themselves.
+USER_AGENT = "Mozilla/5.0 (compatible; tesela)"
+TIMEOUT_SECONDS = 120
+
+
 def fetch_url(url: str) -> bytes:
-    with urllib.request.urlopen(url) as response:
+    request = urllib.request.Request(url, headers={"User-Agent": USER_AGENT})
+    with urllib.request.urlopen(request, timeout=TIMEOUT_SECONDS) as response:
         return response.read()
 
 
@@ -38,12 +44,6 @@ def feed_items(spark: SparkSession, xml: bytes | str) -> DataFrame:
     return spark.createDataFrame(rows, ITEMS)
 
 
-def read_feed(spark: SparkSession, path: str) -> DataFrame:
-    """The same from a feed stored where Spark reads it."""
-    items = spark.read.format("xml").option("rowTag", "item").schema("title string, link string, pubDate string")
-    return items.load(path).withColumnRenamed("pubDate", "pub_date")
-
-
 def file_name(link: Column) -> Column:
     return F.substring_index(link, "/", -1)
 
@@ -138,15 +138,18 @@ def download_plan(dates: DataFrame, dataset: str, zones: str, version: int) -> D
 
 
 def download(url: str, path: str, fetch: Callable[[str], bytes] = fetch_url) -> str:
-    """Fetch url into path unless a file with content is there; nothing is left behind on failure."""
+    """Fetch url into path unless a file with content is there; nothing is left behind on failure or an empty body."""
     if os.path.exists(path) and os.path.getsize(path) > 0:
         return path
     if os.path.dirname(path):
         os.makedirs(os.path.dirname(path), exist_ok=True)
     part = f"{path}.part"
     try:
+        body = fetch(url)
+        if not body:
+            raise OSError(f"{url} gave an empty body")
         with open(part, "wb") as f:
-            f.write(fetch(url))
+            f.write(body)
         os.replace(part, path)
     finally:
         if os.path.exists(part):

@@ -8,14 +8,17 @@ import io
 import os
 import zipfile
 from collections import defaultdict
+from collections.abc import Callable
 from typing import NamedTuple
+from urllib.parse import unquote, urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tesela.functions.normalize import column_name
-from tesela.operators.flows import FILE, union_files
+from tesela.operators.flows import FILE, collect_facts, union_files
 
 _CORRUPT = "__corrupt"
 
@@ -24,6 +27,7 @@ class Scan(NamedTuple):
     frame: DataFrame | None
     accepted: list[str]
     rejected: list[tuple[str, str]]
+    facts: pa.Table | None = None
 
 
 def header_of(path: str, sep: str = "|") -> list[str]:
@@ -34,11 +38,19 @@ def header_of(path: str, sep: str = "|") -> list[str]:
     return [column_name(c) for c in next(csv.reader(io.StringIO(line), delimiter=sep), [])]
 
 
-def scan(spark: SparkSession, paths: list[str], required: tuple[str, ...] = (), strict_rows: bool = True) -> Scan:
-    """One raw frame over many files, with source_file; files of one header are one scan.
+def scan(
+    spark: SparkSession,
+    paths: list[str],
+    required: tuple[str, ...] = (),
+    strict_rows: bool = True,
+    facts: Callable[[DataFrame], dict[str, Column]] | None = None,
+) -> Scan:
+    """One raw frame over many files, with source_file (the whole path); files of one header are one scan.
 
     Files that are absent, empty, unreadable or lack a required column are rejected with a reason, and so, with
-    strict_rows, are files with a row that is longer than the header.
+    strict_rows, are files without a row, or with one that is longer than the header. One pass over the files finds
+    those, and with it the facts of each accepted file, if aggregates for a raw frame are given; a file whose fact
+    'valid' is 0 is rejected too.
     """
     groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
     rejected: list[tuple[str, str]] = []
@@ -55,23 +67,38 @@ def scan(spark: SparkSession, paths: list[str], required: tuple[str, ...] = (),
             groups[tuple(names)].append(path)
         except (OSError, EOFError, UnicodeDecodeError, ValueError) as e:
             rejected.append((path, str(e)))
-    frames, accepted = [], []
+    frames, accepted, found = [], [], []
     for names, files in groups.items():
         raw = _read(spark, files, names)
-        if strict_rows:
-            ragged = {r[0] for r in raw.where(F.col(_CORRUPT)).select(FILE).distinct().collect()}
-            rejected += [(f, "row longer than the header") for f in files if _file_key(f) in ragged]
-            files = [f for f in files if _file_key(f) not in ragged]
-            if not files:
+        if strict_rows or facts:
+            told = collect_facts(raw, {_CORRUPT: F.bool_or(_CORRUPT)} | (facts(raw.drop(_CORRUPT)) if facts else {}))
+            of = {_local_path(r[FILE]): r for r in told.to_pylist()}
+            reasons = {f: _fault(of.get(os.path.abspath(f)), strict_rows) for f in files}
+            rejected += [(f, reason) for f, reason in reasons.items() if reason]
+            good = [f for f in files if not reasons[f]]
+            if not good:
                 continue
-            raw = _read(spark, files, names) if ragged else raw
+            raw = _read(spark, good, names) if len(good) < len(files) else raw
+            files = good
+            kept = {os.path.abspath(f) for f in files}
+            found.append(told.filter(pa.array([_local_path(f) in kept for f in told.column(FILE).to_pylist()], pa.bool_())))
         accepted += files
         frames.append(raw.drop(_CORRUPT))
-    return Scan(union_files(frames), accepted, rejected)
+    table = pa.concat_tables(found, promote_options="default").drop_columns([_CORRUPT]) if facts and found else None
+    return Scan(union_files(frames), accepted, rejected, table)
 
 
-def _file_key(path: str) -> str:
-    return os.path.basename(path)
+def _fault(told: dict | None, strict_rows: bool) -> str | None:
+    """Why a file with these facts is rejected."""
+    if told is None:
+        return "no data rows"
+    if strict_rows and told[_CORRUPT]:
+        return "row longer than the header"
+    return "no valid rows" if told.get("valid") == 0 else None
+
+
+def _local_path(uri: str) -> str:
+    return unquote(urlparse(uri).path)
 
 
 def _read(spark: SparkSession, files: list[str], names: tuple[str, ...]) -> DataFrame:
@@ -79,7 +106,7 @@ def _read(spark: SparkSession, files: list[str], names: tuple[str, ...]) -> Data
     unique = [f"c{i}" for i in range(len(names))]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*unique, "spare"]])
     reader = spark.read.schema(schema).options(sep="|", header="true", escape='"', enforceSchema="true", mode="PERMISSIVE")
-    raw = reader.csv(files).select("*", F.col("_metadata.file_name").alias(FILE))
+    raw = reader.csv(files).select("*", F.col("_metadata.file_path").alias(FILE))
     return raw.withColumn(_CORRUPT, F.col("spare").isNotNull()).select(
         *(F.col(c).alias(n) for c, n in zip(unique, names)), FILE, _CORRUPT
     )

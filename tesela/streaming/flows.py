@@ -16,7 +16,7 @@ def file_stream(spark: SparkSession, folder: str, columns: tuple[str, ...], file
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     reader = spark.readStream.schema(schema).options(sep="|", header="true", escape='"')
     raw = reader.option("maxFilesPerTrigger", files_per_batch).csv(folder)
-    return raw.withColumn(flows.FILE, F.col("_metadata.file_name"))
+    return raw.withColumn(flows.FILE, F.col("_metadata.file_path"))
 
 
 def write_by_date(

@@ -243,3 +243,84 @@ def test_sniffing_and_names(tmp_path):
         assert files.sniff_delimiter(str(path)) == sep
     assert sinks.table_name("Viajes", "GAU", "a", "b", 2) == "Viajes_GAU_a_b_v2.parquet"
     assert api.output_directory(str(tmp_path)) == str(tmp_path)
+
+
+def test_one_base_name_in_two_folders(spark, tmp_path):
+    header = "fecha|zona_residencia|zona_pernoctacion|personas"
+    paths = []
+    for folder, rows in (("a b", ["20220101|1|2|1.234.567", "20220101|1|2|2.000"]), ("c%20", ["20220101|1|2|2.000"])):
+        (tmp_path / folder).mkdir()
+        paths.append(put(tmp_path / folder / "x.csv.gz", header, *rows))
+    facts = lambda raw: flows.file_facts(raw, "overnight")
+    found = files.scan(spark, paths, flows.required_columns("overnight", 2), facts=facts)
+    assert found.accepted == paths and found.facts.num_rows == 2
+    for rows in (flows.overnight(found.frame), flows.overnight(found.frame, facts=found.facts)):
+        assert sorted(r.people for r in rows.collect()) == [2.0, 2000.0, 1234567.0]
+    od = [put(tmp_path / f / "y.csv.gz", OD_HEADER, OD_ROWS[0]) for f in ("a b", "c%20")]
+    assert [r.n_trips for r in flows.od(files.scan(spark, od).frame, sort=True).collect()] == [1.0, 1.0]
+
+
+def test_files_without_rows_are_rejected(spark, tmp_path):
+    header = put(tmp_path / "header.csv.gz", OD_HEADER)
+    nothing = put(tmp_path / "nothing.csv.gz", OD_HEADER, "20220101|00|NA|01009|casa|casa|01|x|y|z|1|2", "NULL|00|1|2|||||||1|1")
+    good = put(tmp_path / "good.csv.gz", OD_HEADER, *OD_ROWS)
+    facts = lambda raw: flows.file_facts(raw, "od")
+    found = files.scan(spark, [header, nothing, good], flows.required_columns("od", 2), facts=facts)
+    assert found.accepted == [good]
+    assert found.rejected == [(header, "no data rows"), (nothing, "no valid rows")] and found.facts.num_rows == 1
+    assert files.scan(spark, [header, nothing], facts=facts).frame is None
+    listing = feed("20220101_Viajes_municipios.csv.gz")
+    body = gzip.compress((OD_HEADER + "\n").encode())
+    m = api.Mobility(2, "municipalities", "2022-01-01", None, str(tmp_path), spark=spark, fetch=lambda _: body, feed=lambda _: listing)
+    assert m.get_od_data(return_df=True) is None and [r for _, r in m.rejected] == ["no data rows"]
+    assert not list(tmp_path.glob("*.parquet"))
+
+
+def test_raw_tokens_of_no_value_and_hours_of_files(spark):
+    rows = [("20220101", h, o, "2", v, "1", f) for h, o, v, f in (
+        ("01", "1", "1", "a"), ("02", "NULL", "1", "a"), ("N/A", "1", "1", "a"), ("03", "1", "NaN", "b"), ("04", "1", "2.000", "b"),
+        ("05", "1", "1.000.000", "b"), ("06", "1", "5.000", "a"),
+    )]
+    raw = spark.createDataFrame(rows, "fecha string, periodo string, origen string, destino string, viajes string, viajes_km string, source_file string")
+    got = {r.hour: r.n_trips for r in flows.od(raw).collect()}
+    assert got == {1: 1.0, 4: 2000.0, 5: 1e6, 6: 5.0}
+    assert {r.hour for r in flows.od(raw, hour_mode="auto").collect()} == {"01", "04", "05", "06"}
+
+
+def test_download_needs_a_body(tmp_path, monkeypatch):
+    with pytest.raises(OSError, match="empty body"):
+        catalog.download("u", str(tmp_path / "x" / "f"), lambda _: b"")
+    assert list((tmp_path / "x").iterdir()) == []
+    asked = []
+
+    class Response:
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            return None
+
+        def read(self):
+            return b"body"
+
+    def opened(request, timeout):
+        asked.append((request.full_url, request.get_header("User-agent"), timeout))
+        return Response()
+
+    monkeypatch.setattr(catalog.urllib.request, "urlopen", opened)
+    assert catalog.fetch_url("https://x.org/a") == b"body"
+    assert asked == [("https://x.org/a", catalog.USER_AGENT, catalog.TIMEOUT_SECONDS)]
+
+
+def test_projections_that_are_not_supported():
+    spheroid = 'SPHEROID["GRS 1980",6378137.0,298.257222101]'
+    system = 'PROJCS["P",GEOGCS["E",DATUM["D",%s],UNIT["Degree",0.0174532925199433]],PROJECTION["%s"],PARAMETER["Central_Meridian",-3.0],PARAMETER["Scale_Factor",0.9996],PARAMETER["False_Easting",%s],UNIT["U",%s]]'
+    with pytest.raises(ValueError, match="Lambert"):
+        shapes.Projection(system % (spheroid, "Lambert_Conformal_Conic", "500000", "1.0"))
+    with pytest.raises(ValueError, match="ellipsoid"):
+        shapes.Projection(system % ('SPHEROID["International 1924",6378388.0,297.0]', "Transverse_Mercator", "500000", "1.0"))
+    with pytest.raises(ValueError, match="degrees"):
+        shapes.Projection('GEOGCS["E",DATUM["D",%s],UNIT["Grad",0.015707963267949]]' % spheroid)
+    metres, kilometres = (shapes.Projection(system % (spheroid, "Transverse_Mercator", x, u)) for x, u in (("500000", "1.0"), ("500", "1000.0")))
+    point = np.array([[440298.94, 4474257.31]])
+    assert np.allclose(metres.to_degrees(point), kilometres.to_degrees(point / 1000), atol=1e-9)

@@ -45,7 +45,6 @@ NOT_ALNUM = ~byte_class((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 #: Lower-cases A to Z and nothing else.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
-SAME = np.arange(256, dtype=np.uint8)
 
 
 def mix(x: np.ndarray) -> np.ndarray:  # of arrays: scalars would warn of overflow

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+from urllib.parse import urlparse
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "pages")
@@ -58,3 +63,22 @@ def raw(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
             spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(f"__tesela_{name}")
             sql = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 __tesela_{name}", sql)
     return spark.sql(sql).repartition(spark.sparkContext.defaultParallelism)
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new local folder below spark.checkpoint.dir, or on one machine a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base:
+        path = os.path.join(urlparse(base).path, "tesela-files", uuid.uuid4().hex)
+        os.makedirs(path)
+        return path
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="tesela-files-")
+
+
+def as_file(df: DataFrame, folder: str, name: str, **options: str) -> str:
+    """df as one delimited file in folder; its path."""
+    target = os.path.join(folder, name)
+    df.coalesce(1).write.options(**({"header": "true", "escape": '"'} | options)).csv(f"file://{target}")
+    return next(os.path.join(target, n) for n in sorted(os.listdir(target)) if n.startswith("part-"))

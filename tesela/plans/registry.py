@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from tesela.functions import normalize as N
 from tesela.functions import vocab
-from tesela.operators import flows, zones
-from tesela.plans.adapter import OD_RAW, OVERNIGHT_RAW, TRIPS_MORE, TRIPS_RAW, raw
-from tesela.sources import catalog
+from tesela.operators import flows, sinks, zones
+from tesela.plans.adapter import OD_RAW, OVERNIGHT_RAW, TRIPS_MORE, TRIPS_RAW, as_file, raw, work_folder
+from tesela.sources import catalog, files, shapes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -424,3 +424,78 @@ _V2, _V1 = catalog.FILE_ROOTS[2], catalog.FILE_ROOTS[1]
 plan_query("url_plan_od_v2", "Viajes", "municipios", 2, f"{_V2}/por-municipios/viajes/ficheros-diarios/MONTH/DAY_Viajes_municipios.csv.gz", "_Viajes_municipios_v2.csv.gz")
 plan_query("url_plan_trips_v2", "Personas", "GAU", 2, f"{_V2}/por-GAU/personas/ficheros-diarios/MONTH/DAY_Personas_dia_GAU.csv.gz", "_Personas_GAU_v2.csv.gz")
 plan_query("url_plan_od_v1", "maestra1", "distritos", 1, f"{_V1}/maestra1-mitma-distritos/ficheros-diarios/MONTH/DAY_maestra_1_mitma_distrito.txt.gz", "_maestra1_distritos_v1.txt.gz")
+
+
+# Queries that go through files: tables are written as the source's files and read back.
+@query("od_auto_hours", od_sql())
+def od_auto_hours(spark, sf_dir):
+    return rounded(flows.od(raw(spark, sf_dir, OD_RAW), hour_mode="auto"))
+
+
+@query("od_files", od_sql())
+def od_files(spark, sf_dir):
+    rows, folder = raw(spark, sf_dir, OD_RAW), work_folder(spark)
+    paths = [
+        as_file(rows.where(f"source_file = '{f}'").drop(flows.FILE), folder, f, sep="|", compression="gzip") for f in ("f0", "f1")
+    ]
+    facts = lambda frame: flows.file_facts(frame, "od")
+    found = files.scan(spark, paths, flows.required_columns("od", 2), facts=facts)
+    return rounded(flows.od(found.frame, hour_mode="auto", facts=found.facts))
+
+
+@query(
+    "overnight_files",
+    f"""
+    SELECT {s_date("fecha")} AS date, {s_zone("zona_residencia")} AS residence_area,
+           {s_zone("zona_pernoctacion")} AS overnight_stay_area, {s_number(s_point("personas"))} AS people, extra
+    FROM ({OVERNIGHT_RAW}) WHERE personas <> 'NA'
+    """,
+)
+def overnight_files(spark, sf_dir):
+    """Two files of one base name, with columns in another order and names in capitals."""
+    rows, folder = raw(spark, sf_dir, OVERNIGHT_RAW), work_folder(spark)
+    halves = rows.where("extra < 'Customer#0000005'"), rows.where("extra >= 'Customer#0000005'")
+    other = halves[1].select(*(F.col(c).alias(f" {c.upper()} ") for c in reversed(rows.columns)))
+    paths = [as_file(half, folder, name, sep="|") for half, name in ((halves[0], "a"), (other, "b"))]
+    found = files.scan(spark, paths, flows.required_columns("overnight", 2))
+    return flows.overnight(found.frame)
+
+
+S_NATIONS = "SELECT lpad(CAST(n_nationkey AS VARCHAR(9)), 5, '0') AS id, n_name AS name FROM nation"
+
+
+@query("zone_csv", f"SELECT id, name, 'with' AS kind FROM ({S_NATIONS}) UNION ALL SELECT id, name, 'without' FROM ({S_NATIONS})")
+def zone_csv(spark, sf_dir):
+    """Zone tables with and without a header."""
+    rows, folder = raw(spark, sf_dir, S_NATIONS), work_folder(spark)
+    padded = rows.select(F.concat(F.lit(" "), "id", F.lit(" ")).alias("ID"), "name")
+    read = []
+    for kind, header in (("with", "true"), ("without", "false")):
+        path = as_file(padded, folder, kind, sep="|", header=header)
+        read.append(files.read_zone_column(spark, path, ("ID", "name")).select(F.col("ID").alias("id"), "name", F.lit(kind).alias("kind")))
+    return read[0].unionByName(read[1])
+
+
+@query("relation_files", " UNION ALL ".join(f"SELECT id, name, {k} AS kind FROM ({S_NATIONS})" for k in range(4)))
+def relation_files(spark, sf_dir):
+    """One table with each of the four delimiters."""
+    rows, folder, read = raw(spark, sf_dir, S_NATIONS), work_folder(spark), []
+    for k, sep in enumerate("|,;\t"):
+        read.append(files.read_relations(spark, as_file(rows, folder, str(k), sep=sep)).withColumn("kind", F.lit(k)))
+    return flows.union_files(read)
+
+
+@query("geojson_round_trip", f"SELECT id, name, CAST(length(name) AS VARCHAR) AS size FROM ({S_NATIONS})")
+def geojson_round_trip(spark, sf_dir):
+    rows = raw(spark, sf_dir, S_NATIONS).withColumn("size", F.length("name").cast("string"))
+    path = f"{work_folder(spark)}/zones.geojson"
+    sinks.save_geojson(rows.withColumn("geometry_wkb", F.lit(None).cast("binary")), path)
+    return shapes.read_geojson(spark, path).select("id", "name", "size")
+
+
+@query("parquet_sink", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus")
+def parquet_sink(spark, sf_dir):
+    """A saved table read back."""
+    rows = raw(spark, sf_dir, "SELECT l_returnflag, l_linestatus FROM lineitem")
+    path = sinks.save_table(rows, f"{work_folder(spark)}/{sinks.table_name('Viajes', 'GAU', 'a', 'b', 2)}")
+    return spark.read.parquet(path).groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))

@@ -8,7 +8,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -44,6 +44,16 @@ def work_path(spark: SparkSession, name: str) -> str:
 _work: dict[str, list[str]] = {}
 
 
+def finished(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> tuple[DataFrame, str]:
+    """What make returns, written to a folder of that name, and the folder; make's intermediate tables are deleted."""
+    made = _work.setdefault(spark.sparkContext.applicationId, [])
+    path, before = work_path(spark, name), len(made)
+    out = materialize(make(), path)
+    remove(spark, *made[before:])
+    del made[before:]
+    return out, path
+
+
 def clean_up(spark: SparkSession) -> None:
     """Delete all intermediate tables that operators of this application have made.
 

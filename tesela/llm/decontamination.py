@@ -9,8 +9,8 @@ then the bytes. Many windows move in step, one in each lane of the words of a ba
 a few array operations.
 
 The tables hold the benchmark, not the documents. Their size is checked: a benchmark over BLOCK_BYTES is split into
-blocks of that size, each with its own tables and its own pass over the rows, one after another in the same stage;
-only what earlier passes found travels with a row.
+blocks of that size, each with its own tables and its own pass over the rows. The first pass writes the rows, later ones
+only what they found, and each pass gives its tables back, so one block's tables are in memory at a time.
 
 Defined results: null and empty texts have no words and no hits; an item without words is never found; items are
 told apart by item_id, so repeated item rows count once. Rows of docs are independent.
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesela.llm.common import map_arrow, text_of, text_slices, utf8
+from tesela.llm.common import map_arrow, materialize, text_of, text_slices, utf8, work_path
 from tesela.llm.wordhash import LOWER, NOT_ALNUM, kinds_of, mix, words
 
 WINDOW = 13
@@ -142,16 +142,15 @@ def search_texts(texts: pa.Array, tables: list[Patterns]):
             yield len(own), np.flatnonzero(own), items.get(i, ())
 
 
-def _item_blocks(benchmark: DataFrame, item_column: str, text_column: str, block_bytes: int) -> Iterator[list[tuple]]:
-    """The items in blocks of about block_bytes; one block at a time comes to the driver."""
+def _item_blocks(benchmark: DataFrame, item_column: str, text_column: str, block_bytes: int) -> Iterator[DataFrame]:
+    """The items (item, text) in blocks of about block_bytes."""
     items = benchmark.select(
         F.coalesce(F.col(item_column).cast("string"), F.lit("")).alias("item"), text_of(text_column).alias("text")
     )
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     for b in range(blocks):
-        mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
-        yield [(r.item, r.text) for r in mine.collect()]
+        yield items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
 
 
 def find_occurrences(
@@ -180,10 +179,28 @@ def find_occurrences(
         F.array().cast("array<int>").alias("hit_words"),
         F.array().cast("array<string>").alias("items"),
     )
-    for block in _item_blocks(benchmark, item_column, benchmark_text, block_bytes):
-        tables = spark.sparkContext.broadcast(build(block, window))
-        rows = map_arrow(rows, _search_with(tables), rows.schema)
-    return rows.drop("text")
+    blocks = list(_item_blocks(benchmark, item_column, benchmark_text, block_bytes))
+    tables = spark.sparkContext.broadcast(build([(r.item, r.text) for r in blocks[0].collect()], window))
+    rows = map_arrow(rows, _search_with(tables), rows.schema)
+    if len(blocks) == 1:
+        return rows.drop("text")
+    path = work_path(spark, "decontamination")
+    rows = materialize(rows.withColumn("__row", F.monotonically_increasing_id()), f"{path}/rows")
+    for k, block in enumerate(blocks[1:], 1):
+        tables.destroy()
+        tables = spark.sparkContext.broadcast(build([(r.item, r.text) for r in block.collect()], window))
+        none = (F.lit(0).cast("bigint").alias("n_words"), F.array().cast("array<int>").alias("hit_words"))
+        texts = rows.select("__row", "text", *none, F.array().cast("array<string>").alias("items"))
+        found = map_arrow(texts, _search_with(tables), texts.schema).where(F.size("hit_words") > 0)
+        found.select("__row", F.col("hit_words").alias("more"), F.col("items").alias("others")).write.parquet(f"{path}/found/{k}")
+    tables.destroy()
+    merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    found = spark.read.parquet(f"{path}/found/*").groupBy("__row").agg(merged("more"), merged("others"))
+    return rows.join(found, "__row", "left").select(
+        *(c for c in rows.columns if c not in ("text", "__row", "hit_words", "items")),
+        F.when(F.col("more").isNull(), F.col("hit_words")).otherwise(F.array_sort(F.array_union("hit_words", "more"))).alias("hit_words"),
+        F.when(F.col("others").isNull(), F.col("items")).otherwise(F.array_sort(F.array_union("items", "others"))).alias("items"),
+    ).select(*(c for c in rows.columns if c not in ("text", "__row")))
 
 
 def _search_with(tables):

@@ -21,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesela.llm.common import map_arrow, text_of, text_slices, utf8
+from tesela.llm.common import map_arrow, materialize, text_of, text_slices, utf8, work_path
 from tesela.llm.wordhash import LOWER, SPACE, byte_class, mix, segments, words
 
 BITS = 20
 SCALE = 10.0
 #: Labelled rows that training takes at most.
 MAX_TRAIN = 5_000
+#: Bytes of text that training takes at most, and that come to the driver.
+MAX_TRAIN_BYTES = 128 << 20
 EPOCHS = 3
 
 #: The pair of a word with itself, whichever the word.
@@ -103,12 +105,23 @@ def train(texts: pa.Array, labels: np.ndarray, epochs: int = EPOCHS, seed: int =
 def sample_labelled(
     docs: DataFrame, labels: DataFrame, label: str, train_on: Column, limit: int, id_column="doc_id", text_column="text"
 ) -> tuple[pa.Array, np.ndarray]:
-    """Texts and labels of at most limit labelled ids; train_on tells which ids of labels may be used."""
+    """Texts and labels of at most limit labelled ids; train_on tells which ids of labels may be used.
+
+    Ids are taken in the order of their hashes, as long as their texts have MAX_TRAIN_BYTES together. Of rows that repeat
+    an id the greatest text counts.
+    """
     known = labels.where(F.col(id_column).isNotNull() & F.col(label).isNotNull() & train_on)
     known = known.groupBy(F.col(id_column).alias("id")).agg(F.max(label).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(limit)
     rows = docs.select(F.col(id_column).alias("id"), text_of(text_column).alias("text"))
-    found = rows.join(F.broadcast(chosen), "id").select("id", "text", "label").toArrow()
+    found = rows.join(F.broadcast(chosen), "id").groupBy("id").agg(F.max("text").alias("text"), F.first("label").alias("label"))
+    found = materialize(found, work_path(docs.sparkSession, "labelled"))
+    sizes = found.select("id", F.octet_length("text").alias("size")).orderBy(F.xxhash64("id"), "id").toArrow()
+    whole = np.cumsum(sizes.column("size").to_numpy()) <= MAX_TRAIN_BYTES
+    if not whole.all():
+        taken = docs.sparkSession.createDataFrame(sizes.filter(pa.array(whole)).select(["id"]))
+        found = found.join(F.broadcast(taken), "id")
+    found = found.select("id", "text", "label").toArrow()
     order = np.argsort(found.column("id").to_numpy(), kind="stable")
     found = found.take(pa.array(order))
     return utf8(found.column("text")), found.column("label").to_numpy()

@@ -169,3 +169,10 @@ def test_bpe_frame(spark):
     assert row.decoded == "hello  world" and len(row.ids) == 4 * row.n_tokens
     assert hashlib.sha256(bytes(row.ids)).hexdigest()
     pytest.importorskip("public_tokenizers")
+
+
+def test_a_text_of_one_line_repeated(spark):
+    """Cost grows with the lines, not with their square. Lines 1 to 3 equal lines 0 to 2, so all but line 0 go."""
+    rows = [(1, "the same line\n" * 200_000), (2, "a\nb\nc\nd"), (3, "z\nb\nc\nd\ny"), (2, "a\nb\nc\nd")]
+    out = sorted((r.doc_id, r.n_lines, r.n_removed, len(r.text)) for r in line_dedup(frame(spark, rows)).collect())
+    assert out == [(1, 200_000, 199_999, 14), (2, 4, 0, 7), (2, 4, 0, 7), (3, 5, 3, 3)]

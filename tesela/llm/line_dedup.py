@@ -3,7 +3,8 @@
 Lines are what newlines part, with ASCII white space at both ends left out of the comparison; it parts words too.
 Blank lines are never compared or removed. Each document becomes an array of 64-bit line hashes. Runs of MIN_LINES
 lines or of MIN_WORDS words that occur at an earlier place (by the document's id, then its text's hash, then the line)
-are removed from the later place. A document can repeat itself too, also where the two places overlap: of one line repeated only the first stays.
+are removed from the later place. A document can repeat itself too, also where the two places overlap: of one line
+repeated only the first stays.
 
 Fingerprints are those of winnowing with a window of one: every unit of neighbouring lines that is a run to remove by
 itself, which is MIN_LINES lines, or fewer that have MIN_WORDS words together. A line lies in a repeated run exactly

@@ -77,7 +77,7 @@ def test_pruning_keeps_what_reaches_the_threshold():
     least = ngram_jaccard.least_matches()
     assert 0 < least[252] < 0.8 * 252 and (np.diff(least) >= 0).all()
     sets = [np.unique(np.random.default_rng(k).integers(0, 60, 40)).astype(np.uint64) for k in range(6)]
-    both = ngram_jaccard.common_members(sets)
+    both = ngram_jaccard.common_members(sets, sets)
     pairs = [(i, j) for i in range(6) for j in range(6) if i != j]
     assert all(both[i, j] == len({*sets[i].tolist()} & {*sets[j].tolist()}) for i, j in pairs)
 

@@ -90,8 +90,8 @@ class Vocabulary:
         known = (self.pairs[at] == key) & (left >= 0) & (right >= 0)
         return np.where(known, self.rank_of[at], NONE), np.where(known, self.joined_of[at], -1)
 
-    def encode_short(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of words of 1 to SHORT bytes: rows of one matrix, -1 past the end of a word."""
+    def encode_short(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of words of 1 to SHORT bytes: rows of one matrix, -1 past the end of a word."""
         n = len(words)
         lengths = np.fromiter(map(len, words), np.int64, n)
         width = int(lengths.max())
@@ -125,7 +125,10 @@ class Vocabulary:
             left = np.flatnonzero(at > 0)
             before = at[left] - 1
             ranks[left, before], joined[left, before] = self.pair_ranks(parts[left, before], parts[left, before + 1])
-        return [r[: np.count_nonzero(r >= 0)] for r in done]
+        kept = done >= 0
+        packed = done[kept].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(kept.sum(axis=1))).tolist()
+        return [packed[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
     def encode_long(self, word: bytes) -> np.ndarray:
         """Ids of a word of any length: linked parts, and a heap of (rank, place) with stale entries skipped."""
@@ -159,7 +162,7 @@ class Vocabulary:
         for k in range(0, len(short), ROWS):
             chosen = short[k : k + ROWS]
             for i, ids in zip(chosen, self.encode_short([words[i] for i in chosen])):
-                out[i] = ids.astype("<u4").tobytes()
+                out[i] = ids
         for i, w in enumerate(words):
             if len(w) > SHORT:
                 out[i] = self.encode_long(w).astype("<u4").tobytes()
@@ -193,14 +196,18 @@ class Encoder:
 
     def _learn(self, units: Iterable[str]) -> None:
         """Unit keys: the unit without its leading space; those that have none begin with FIRST."""
-        pretokens: dict[str, int] = {}
-        cut = []
-        for unit in units:
-            found = _PRETOKEN.findall(unit[1:] if unit.startswith(FIRST) else " " + unit)
-            cut.append((unit, [pretokens.setdefault(p, len(pretokens)) for p in found]))
-        packed = self.vocab.encode_words([p.encode() for p in pretokens])
-        for unit, parts in cut:
-            self.known[unit] = b"".join([packed[p] for p in parts])
+        # Flat lists: a list for each unit would keep the garbage collector busy.
+        order, found, ends = list(units), [], []
+        for unit in order:
+            found += _PRETOKEN.findall(unit[1:] if unit.startswith(FIRST) else " " + unit)
+            ends.append(len(found))
+        distinct = list(set(found))
+        packed = dict(zip(distinct, self.vocab.encode_words([p.encode() for p in distinct])))
+        parts = [packed[p] for p in found]
+        at = 0
+        for unit, end in zip(order, ends):
+            self.known[unit] = parts[at] if end == at + 1 else b"".join(parts[at:end])
+            at = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""

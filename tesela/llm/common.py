@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import os
@@ -14,6 +15,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -183,3 +185,25 @@ def release_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished plans, which it does when the driver's garbage is collected."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def trim_driver(spark: SparkSession) -> None:
+    """Give back to the system what the driver's Python and JVM have freed, and the shuffle files of finished plans.
+
+    The JVM's heap shrinks with its garbage. What its compiler has freed outside the heap stays with malloc until the JVM's
+    command for that (Java 17.0.9 or later, with glibc) is run. Its bean is called through the interface, as Java hides the
+    class; a JVM that lacks the command keeps that memory.
+    """
+    release_shuffles(spark)
+    trim_worker()
+    jvm, array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    find = jvm.java.lang.Class.forName
+    bean = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    values = (bean, "systemTrimNativeHeap", array(jvm.Object, 0), array(jvm.String, 0))
+    names = ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")
+    kinds, given = array(jvm.java.lang.Class, 4), array(jvm.Object, 4)
+    for k in range(4):
+        kinds[k], given[k] = find(names[k]), values[k]
+    call = find("javax.management.MBeanServerConnection").getMethod("invoke", kinds)
+    with contextlib.suppress(Py4JJavaError):
+        call.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)

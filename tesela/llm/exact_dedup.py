@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesela.llm.common import exists, join_counted, materialize, remove, text_of, work_path
+from tesela.llm.common import exists, join_counted, materialize, remove, text_of, trim_driver, work_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -173,6 +173,7 @@ def exact_dedup(
     if exists(spark, f"{base}/changes"):
         first_batch = 1 + (read_changes(spark, f"{base}/changes", log.schema).agg(F.max("batch")).first()[0] or 0)
     run_state(spark, f"{base}/log/*", log.schema, f"{base}/state", f"{base}/changes")
+    trim_driver(spark)
     changes = read_changes(spark, f"{base}/changes", log.schema)
     state = latest_state(changes.where(F.col("batch") >= first_batch))  # of this call's digests
     if not state_dir:

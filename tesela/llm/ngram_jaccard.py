@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesela.llm.common import join_counted, map_arrow, materialize, remove, text_of, text_slices, utf8, work_path
+from tesela.llm.common import join_counted, map_arrow, materialize, remove, text_of, text_slices, trim_driver, utf8, work_path
 from tesela.llm.components import components
 from tesela.llm.wordhash import LOWER, SPACE, kinds_of, mix, words
 
@@ -411,6 +411,7 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     reps = materialize(reps.withColumn("rid", F.monotonically_increasing_id()), paths["reps"])
     edges = materialize(candidate_edges(reps), paths["edges"])
     comps = components(edges)
+    trim_driver(spark)
     found = materialize(_verified(docs, reps, comps, id_column, text_column, paths["members"]), paths["links"])
     links = found.where("links is not null").groupBy("a").agg(F.sum("links").alias("links"))
     # The forest of a whole component consists of stars around the least row; those of chunks need joining.
@@ -419,6 +420,7 @@ def jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     parts = tree.where("not whole").select("a", "b")
     if not parts.isEmpty():
         roots = roots.unionByName(components(parts))
+    trim_driver(spark)
     slim = reps.select("set_id", "rid", "least_id", "n_docs")
     slim = slim.join(links, slim.rid == links.a, "left").join(roots, slim.rid == roots.node, "left")
     slim = slim.withColumn("root", F.coalesce("root", "rid"))

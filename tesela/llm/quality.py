@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesela.llm.common import map_arrow, materialize, text_of, text_slices, utf8, work_path
+from tesela.llm.common import map_arrow, materialize, text_of, text_slices, trim_driver, utf8, work_path
 from tesela.llm.wordhash import LOWER, SPACE, byte_class, mix, segments, words
 
 BITS = 20
@@ -93,12 +93,13 @@ def train(texts: pa.Array, labels: np.ndarray, epochs: int = EPOCHS, seed: int =
         place, bounds = features(data, offsets)
         for i in range(b - a):
             at, count = np.unique(place[bounds[i] : bounds[i + 1]], return_counts=True)
-            x = count * (SCALE / max(1, count.sum()))
-            rows.append((np.append(at, bias), np.append(x, 1.0)))
+            rows.append((np.append(at, bias).astype(np.int32), count.astype(np.int32)))
     order = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in order.permutation(len(rows)):
-            model.learn(*rows[i], labels[i])
+            at, count = rows[i]
+            model.learn(at, np.append(count * (SCALE / max(1, count.sum())), 1.0), labels[i])
+    del rows
     return model.weights(slice(None)).astype(np.float32)
 
 
@@ -166,4 +167,7 @@ def score_texts(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, train_on: Column, limit: int = MAX_TRAIN) -> np.ndarray:
     texts, marks = sample_labelled(docs, labels, label, train_on, limit)
-    return train(texts, marks)
+    weights = train(texts, marks)
+    del texts, marks
+    trim_driver(docs.sparkSession)
+    return weights

@@ -15,6 +15,8 @@ IS_NUMBER = f"^{NUMBER}$"
 #: A text that is made of groups of thousands; of at most 13 after the first.
 GROUPED = r"^[+-]?\d{1,3}(\.\d{3}){1,13}$"
 GROUPED_TWICE = r"^[+-]?\d{1,3}(\.\d{3}){2,}$"
+#: Starts of fields that are no token of no value; of those tokens, only 1.#IND and 1.#QNAN start with a digit.
+KNOWN_START = r"^ *\d(?!\.#)"
 
 
 def column_name(name: str) -> str:
@@ -49,14 +51,15 @@ def clean(c: Column) -> Column:
     return only_if(trim_all(c.cast("string")), lambda v: ~v.isin(*TRIMMED_NULLS))
 
 
+# Facts of files look at every field, so a cheap test that is enough goes before the whole one.
 def is_number(c: Column) -> Column:
     """Whether a raw field is a number, with points as decimal points."""
-    return F.coalesce(F.translate(trim_all(c), ",", ".").rlike(IS_NUMBER), F.lit(False))
+    return F.coalesce(c.rlike(IS_NUMBER) | F.translate(trim_all(c), ",", ".").rlike(IS_NUMBER), F.lit(False))
 
 
 def is_known(c: Column) -> Column:
     """Whether a raw field, trimmed, is no token of no value."""
-    return F.coalesce(~c.isin(*RAW_NULLS) & ~trim_all(c).isin(*TRIMMED_NULLS), F.lit(False))
+    return F.coalesce(c.rlike(KNOWN_START) | (~c.isin(*RAW_NULLS) & ~trim_all(c).isin(*TRIMMED_NULLS)), F.lit(False))
 
 
 # Steps, on plain columns of text.
@@ -116,7 +119,7 @@ def point_decimal(c: Column) -> Column:
 
 def has_thousands(c: Column) -> Column:
     """Whether a field shows at least two groups of thousands; one such field decides for its column and file."""
-    return F.coalesce(F.translate(trim_all(c), ",", ".").rlike(GROUPED_TWICE), F.lit(False))
+    return F.coalesce((F.length(c) >= 9) & F.translate(trim_all(c), ",", ".").rlike(GROUPED_TWICE), F.lit(False))
 
 
 def number_text(text: Column) -> Column:

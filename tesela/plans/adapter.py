@@ -9,6 +9,9 @@ from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a part of a file, which one task writes and reads whole.
+PART_ROWS = 500_000
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "pages")
 
 #: Year starts with some '.0' and some dashes, hours '00' to '02', zones with and without '.0', decimal commas.
@@ -78,7 +81,14 @@ def work_folder(spark: SparkSession) -> str:
 
 
 def as_file(df: DataFrame, folder: str, name: str, **options: str) -> str:
-    """df as one delimited file in folder; its path."""
+    """df, which is small, as one delimited file in folder, written by one task; its path."""
     target = os.path.join(folder, name)
     df.coalesce(1).write.options(**({"header": "true", "escape": '"'} | options)).csv(f"file://{target}")
     return next(os.path.join(target, n) for n in sorted(os.listdir(target)) if n.startswith("part-"))
+
+
+def as_parts(df: DataFrame, folder: str, name: str, **options: str) -> str:
+    """df as one delimited file in parts, each with the header and written by one task; the path of the parts' folder."""
+    target = os.path.join(folder, name)
+    df.write.options(**({"header": "true", "escape": '"', "maxRecordsPerFile": PART_ROWS} | options)).csv(f"file://{target}")
+    return target

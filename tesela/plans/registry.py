@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tesela.functions import normalize as N
 from tesela.functions import vocab
 from tesela.operators import flows, sinks, zones
-from tesela.plans.adapter import OD_RAW, OVERNIGHT_RAW, TRIPS_MORE, TRIPS_RAW, as_file, raw, work_folder
+from tesela.plans.adapter import OD_RAW, OVERNIGHT_RAW, TRIPS_MORE, TRIPS_RAW, as_file, as_parts, raw, work_folder
 from tesela.sources import catalog, files, shapes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -436,7 +436,7 @@ def od_auto_hours(spark, sf_dir):
 def od_files(spark, sf_dir):
     rows, folder = raw(spark, sf_dir, OD_RAW), work_folder(spark)
     paths = [
-        as_file(rows.where(f"source_file = '{f}'").drop(flows.FILE), folder, f, sep="|", compression="gzip") for f in ("f0", "f1")
+        as_parts(rows.where(f"source_file = '{f}'").drop(flows.FILE), folder, f, sep="|", compression="gzip") for f in ("f0", "f1")
     ]
     facts = lambda frame: flows.file_facts(frame, "od")
     found = files.scan(spark, paths, flows.required_columns("od", 2), facts=facts)
@@ -456,7 +456,7 @@ def overnight_files(spark, sf_dir):
     rows, folder = raw(spark, sf_dir, OVERNIGHT_RAW), work_folder(spark)
     halves = rows.where("extra < 'Customer#0000005'"), rows.where("extra >= 'Customer#0000005'")
     other = halves[1].select(*(F.col(c).alias(f" {c.upper()} ") for c in reversed(rows.columns)))
-    paths = [as_file(half, folder, name, sep="|") for half, name in ((halves[0], "a"), (other, "b"))]
+    paths = [as_parts(half, folder, name, sep="|") for half, name in ((halves[0], "a"), (other, "b"))]
     found = files.scan(spark, paths, flows.required_columns("overnight", 2))
     return flows.overnight(found.frame)
 

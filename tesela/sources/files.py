@@ -1,4 +1,8 @@
-"""Pipe-separated files as raw frames of text: headers are matched by name, file by file."""
+"""Pipe-separated files as raw frames of text: headers are matched by name, file by file.
+
+A file may come in parts, as a folder of files with the same header; its path is the folder's. The parts are read by as
+many tasks as their size asks for, while a gzip file in one piece is one task.
+"""
 
 from __future__ import annotations
 
@@ -38,6 +42,13 @@ def header_of(path: str, sep: str = "|") -> list[str]:
     return [column_name(c) for c in next(csv.reader(io.StringIO(line), delimiter=sep), [])]
 
 
+def parts_of(path: str) -> list[str]:
+    """The files that a file is made of: those of a folder, without Spark's own, or the file itself."""
+    if not os.path.isdir(path):
+        return [path]
+    return [os.path.join(path, n) for n in sorted(os.listdir(path)) if not n.startswith(("_", "."))]
+
+
 def scan(
     spark: SparkSession,
     paths: list[str],
@@ -47,29 +58,33 @@ def scan(
 ) -> Scan:
     """One raw frame over many files, with source_file (the whole path); files of one header are one scan.
 
-    Files that are absent, empty, unreadable or lack a required column are rejected with a reason, and so, with
+    Files that are absent, empty, unreadable or lack a required column are rejected with a reason, as are files in parts
+    of which one is so or has another header than the rest, and so, with
     strict_rows, are files without a row, or with one that is longer than the header. One pass over the files finds
     those, and with it the facts of each accepted file, if aggregates for a raw frame are given; a file whose fact
     'valid' is 0 is rejected too.
     """
-    groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
+    groups: dict[tuple[tuple[str, ...], bool], list[str]] = defaultdict(list)
     rejected: list[tuple[str, str]] = []
     for path in paths:
         try:
-            if not os.path.exists(path) or os.path.getsize(path) == 0:
+            parts = parts_of(path)
+            if not parts or not all(os.path.exists(p) and os.path.getsize(p) for p in parts):
                 raise ValueError("missing or empty file")
-            names = header_of(path)
+            names = header_of(parts[0])
             absent = [c for c in required if c not in names]
             if not names:
                 raise ValueError("no header")
             if absent:
                 raise ValueError(f"missing columns: {', '.join(absent)}")
-            groups[tuple(names)].append(path)
+            if any(header_of(p) != names for p in parts[1:]):
+                raise ValueError("parts of several headers")
+            groups[tuple(names), os.path.isdir(path)].append(path)
         except (OSError, EOFError, UnicodeDecodeError, ValueError) as e:
             rejected.append((path, str(e)))
     frames, accepted, found = [], [], []
-    for names, files in groups.items():
-        raw = _read(spark, files, names)
+    for (names, in_parts), files in groups.items():
+        raw = _read(spark, files, names, in_parts)
         if strict_rows or facts:
             told = collect_facts(raw, {_CORRUPT: F.bool_or(_CORRUPT)} | (facts(raw.drop(_CORRUPT)) if facts else {}))
             of = {_local_path(r[FILE]): r for r in told.to_pylist()}
@@ -78,7 +93,7 @@ def scan(
             good = [f for f in files if not reasons[f]]
             if not good:
                 continue
-            raw = _read(spark, good, names) if len(good) < len(files) else raw
+            raw = _read(spark, good, names, in_parts) if len(good) < len(files) else raw
             files = good
             kept = {os.path.abspath(f) for f in files}
             found.append(told.filter(pa.array([_local_path(f) in kept for f in told.column(FILE).to_pylist()], pa.bool_())))
@@ -101,12 +116,13 @@ def _local_path(uri: str) -> str:
     return unquote(urlparse(uri).path)
 
 
-def _read(spark: SparkSession, files: list[str], names: tuple[str, ...]) -> DataFrame:
-    """Text columns by position; a spare last column shows rows that are too long."""
+def _read(spark: SparkSession, files: list[str], names: tuple[str, ...], in_parts: bool) -> DataFrame:
+    """Text columns by position; a spare last column shows rows that are too long. in_parts: files are folders of parts."""
     unique = [f"c{i}" for i in range(len(names))]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*unique, "spare"]])
     reader = spark.read.schema(schema).options(sep="|", header="true", escape='"', enforceSchema="true", mode="PERMISSIVE")
-    raw = reader.csv(files).select("*", F.col("_metadata.file_path").alias(FILE))
+    path = F.col("_metadata.file_path")
+    raw = reader.csv(files).select("*", (F.regexp_replace(path, "/[^/]*$", "") if in_parts else path).alias(FILE))
     return raw.withColumn(_CORRUPT, F.col("spare").isNotNull()).select(
         *(F.col(c).alias(n) for c, n in zip(unique, names)), FILE, _CORRUPT
     )

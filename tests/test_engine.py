@@ -324,3 +324,36 @@ def test_projections_that_are_not_supported():
     metres, kilometres = (shapes.Projection(system % (spheroid, "Transverse_Mercator", x, u)) for x, u in (("500000", "1.0"), ("500", "1000.0")))
     point = np.array([[440298.94, 4474257.31]])
     assert np.allclose(metres.to_degrees(point), kilometres.to_degrees(point / 1000), atol=1e-9)
+
+
+def test_files_in_parts(spark, tmp_path):
+    """A folder of parts is one file: its facts and sums hold for all parts, and faults of one part reject it."""
+    header = "fecha|periodo|origen|destino|viajes|viajes_km"
+
+    def parts(name, *bodies):
+        (tmp_path / name).mkdir()
+        for k, lines in enumerate(bodies):
+            put(tmp_path / name / f"part-{k}.csv.gz", *lines)
+        (tmp_path / name / "_SUCCESS").write_bytes(b"")
+        return str(tmp_path / name)
+
+    rows = ["20220101|00|1|2|2.000|1", "20220101|00|1|2|1.234.567|1"]
+    whole = put(tmp_path / "whole.csv.gz", header, rows[0])
+    good = parts("a b", [header, rows[0]], [header, rows[1]], [header])
+    ragged = parts("ragged", [header, rows[0]], [header, rows[0] + "|1"])
+    mixed = parts("mixed", [header, rows[0]], ["fecha|periodo|origen|destino|viajes_km|viajes", rows[0]])
+    facts = lambda raw: flows.file_facts(raw, "od")
+    paths = [whole, good, ragged, mixed, parts("none")]
+    found = files.scan(spark, paths, flows.required_columns("od", 2), facts=facts)
+    assert sorted(found.accepted) == sorted([whole, good]) and found.facts.num_rows == 2
+    assert [p for p, _ in found.rejected if p in paths] == [mixed, paths[-1], ragged]
+    assert sorted(r.n_trips for r in flows.od(found.frame, facts=found.facts).collect()) == [2.0, 1236567.0]
+
+
+def test_cheap_tests_of_fields_change_nothing(spark):
+    fields = [*vocab.RAW_NULLS, "1.#IND ", " 1.#QNAN", "1.#x", " NA ", "\t7", "7\n", "1,5", " 2", "x", "NA7", "1.5.", "1.234.567", " 1.234,567\t", "123.456"]
+    old_number = lambda c: F.coalesce(F.translate(N.trim_all(c), ",", ".").rlike(N.IS_NUMBER), F.lit(False))
+    old_known = lambda c: F.coalesce(~c.isin(*vocab.RAW_NULLS) & ~N.trim_all(c).isin(*vocab.TRIMMED_NULLS), F.lit(False))
+    old_thousands = lambda c: F.coalesce(F.translate(N.trim_all(c), ",", ".").rlike(N.GROUPED_TWICE), F.lit(False))
+    for new, old in ((N.is_number, old_number), (N.is_known, old_known), (N.has_thousands, old_thousands)):
+        assert values(spark, new, [*fields, None]) == values(spark, old, [*fields, None])

@@ -9,6 +9,8 @@ from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of tables, as they are stored, whose rows make one partition where there are more than cores ask for.
+PARTITION_BYTES = 16 << 20
 #: Rows of a part of a file, which one task writes and reads whole.
 PART_ROWS = 500_000
 
@@ -57,15 +59,20 @@ TRIPS_MORE = ", event_type AS edad, CASE WHEN event_id % 2 = 0 THEN 'hombre' WHE
 def raw(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """sql over the tables of sf_dir; views have names of their own, so the session's are left alone.
 
-    Small tables come in few partitions, as many files don't; the rows are dealt out to all cores.
+    Small tables come in few partitions, as many files don't; the rows are dealt out to all cores, and those of larger
+    tables to as many partitions as keep one small. Without the exchange the expressions here and those of the operators
+    would be one method, which with all keys is too long for the JVM to compile.
     """
     import re
 
+    size = 0
     for name in TABLES:
         if re.search(rf"\b{name}\b", sql):
-            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(f"__tesela_{name}")
+            table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+            table.createOrReplaceTempView(f"__tesela_{name}")
+            size += int(str(table._jdf.queryExecution().analyzed().stats().sizeInBytes()))
             sql = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 __tesela_{name}", sql)
-    return spark.sql(sql).repartition(spark.sparkContext.defaultParallelism)
+    return spark.sql(sql).repartition(max(spark.sparkContext.defaultParallelism, -(-size // PARTITION_BYTES)))
 
 
 def work_folder(spark: SparkSession) -> str:

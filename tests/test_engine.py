@@ -9,6 +9,7 @@ from tesela import api
 from tesela.functions import normalize as N
 from tesela.functions import vocab
 from tesela.operators import flows, sinks, zones
+from tesela.plans import adapter
 from tesela.sources import catalog, files, shapes
 from tesela.streaming.flows import file_stream, write_by_date
 
@@ -350,6 +351,21 @@ def test_files_in_parts(spark, tmp_path):
     assert sorted(r.n_trips for r in flows.od(found.frame, facts=found.facts).collect()) == [2.0, 1236567.0]
 
 
+def test_tasks_do_not_grow_with_the_tables(spark, tmp_path, monkeypatch):
+    """Rows come in partitions by the size of the tables, and files are written in parts of a bounded number of rows."""
+    spark.range(10_000).selectExpr("id AS c_custkey", "uuid() AS c_name").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    rows = lambda: adapter.raw(spark, str(tmp_path), "SELECT c_custkey, c_name FROM customer")
+    assert rows().rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(adapter, "PARTITION_BYTES", 20_000)
+    monkeypatch.setattr(adapter, "PART_ROWS", 300)
+    assert rows().rdd.getNumPartitions() > 2 * spark.sparkContext.defaultParallelism
+    path = adapter.as_parts(rows(), str(tmp_path), "f", sep="|", compression="gzip")
+    assert len(files.parts_of(path)) >= 34
+    found = files.scan(spark, [path])
+    assert [files._local_path(r.source_file) for r in found.frame.select("source_file").distinct().collect()] == [path]
+    assert found.frame.selectExpr("count(*)", "sum(c_custkey)").first() == (10_000, 49_995_000)
+
+
 def test_cheap_tests_of_fields_change_nothing(spark):
     fields = [*vocab.RAW_NULLS, "1.#IND ", " 1.#QNAN", "1.#x", " NA ", "\t7", "7\n", "1,5", " 2", "x", "NA7", "1.5.", "1.234.567", " 1.234,567\t", "123.456"]
     old_number = lambda c: F.coalesce(F.translate(N.trim_all(c), ",", ".").rlike(N.IS_NUMBER), F.lit(False))
